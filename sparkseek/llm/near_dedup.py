@@ -119,7 +119,7 @@ def _similar_udf(similarity: float):
 
 
 def blank(text: Column) -> Column:
-    return F.coalesce(~text.rlike(r"[^\s\x1c-\x1f]"), F.lit(True))
+    return F.coalesce(~text.rlike(r"\S"), F.lit(True))
 
 
 def _digest(text: Column, key: Column) -> Column:

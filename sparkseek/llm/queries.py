@@ -25,11 +25,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents.select("doc_id", "text"), model).drop("text")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import duplicate_spans
+
+    return duplicate_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op10_near_dedup": op10_near_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op10_near_dedup": op10_near_dedup}
 SQL: dict[str, str] = {}

@@ -16,7 +16,7 @@ R_INV = pow(R, -1, 1 << 64)
 CHUNK = 1 << 20
 
 SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
