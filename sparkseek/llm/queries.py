@@ -31,11 +31,17 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packing
+
+    return packing(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op10_near_dedup": op10_near_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op4_packing": op4_packing, "op10_near_dedup": op10_near_dedup}
 SQL: dict[str, str] = {}
