@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +22,25 @@ def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet into the shared folder and read again; compact where rows are wide."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def shared_file(spark: SparkSession, content: bytes, name: str) -> str:
+    """Puts a file into the shared folder and has Spark bring it to every executor; SparkFiles.get() of the name that
+    is returned gives its path there."""
+    name = f"{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{name}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    out = fs.create(where)
+    out.write(content)
+    out.close()
+    spark.sparkContext.addFile(fs.makeQualified(where).toString())
+    return name

@@ -107,3 +107,18 @@ def segment_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, off[:-1][full])
     return out
+
+
+def ragged(values: np.ndarray, off: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segments values[off[i]:off[i+1]] for i in `which`, in one piece, and the offsets into it."""
+    n = off[which + 1] - off[which]
+    out = np.concatenate([[0], np.cumsum(n)])
+    return values[np.arange(out[-1]) - np.repeat(out[:-1] - off[which], n)], out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    p, q = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * q[starts])
