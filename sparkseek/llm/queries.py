@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .huffman import BLOCK
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +40,34 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it."""
+    from .bpe import bpe_encode, decoder, prepare
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    name = prepare(documents)
+    ids = bpe_encode(documents, name=name)
+    return ids.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), F.col("text").eqNullSafe(decoder(name)("token_ids").cast("string")).alias("exact"))
+
+
+def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of every text's ids, and whether they decode to them."""
+    from .bpe import bpe_encode
+    from .huffman import block_ids, codebook, huffman_encode
+    from .shared import written
+
+    ids = written(bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "token_ids"), "ids")
+    book = codebook(ids)
+    blocks = huffman_encode(ids.withColumn("plain", F.col("token_ids")), book)
+    own = F.slice("plain", F.col("block") * BLOCK + 1, F.greatest(F.col("n_ids"), F.lit(0)))
+    return blocks.withColumn("exact", block_ids(book, spark)("payload", "n_ids", "checkpoints") == F.coalesce(own, F.array().cast("array<int>"))).drop("plain")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op4_packing": op4_packing, "op10_near_dedup": op10_near_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op4_packing": op4_packing, "op6_bpe": op6_bpe, "op8_huffman": op8_huffman, "op10_near_dedup": op10_near_dedup}
 SQL: dict[str, str] = {}
