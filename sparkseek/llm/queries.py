@@ -40,6 +40,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk lists of every page's raw bytes, rebuilt from deduplicated chunks and verified."""
+    from .media import media
+
+    return media(_table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("payload")), "payload")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it."""
     from .bpe import bpe_encode, decoder, prepare
@@ -50,6 +57,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), F.col("text").eqNullSafe(decoder(name)("token_ids").cast("string")).alias("exact"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import licenses
+
+    return licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every text's ids, and whether they decode to them."""
     from .bpe import bpe_encode
@@ -69,5 +82,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op4_packing": op4_packing, "op6_bpe": op6_bpe, "op8_huffman": op8_huffman, "op10_near_dedup": op10_near_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op4_packing": op4_packing, "op5_media": op5_media, "op6_bpe": op6_bpe, "op7_licenses": op7_licenses, "op8_huffman": op8_huffman, "op10_near_dedup": op10_near_dedup}
 SQL: dict[str, str] = {}
