@@ -76,11 +76,17 @@ def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.withColumn("exact", block_ids(book, spark)("payload", "n_ids", "checkpoints") == F.coalesce(own, F.array().cast("array<int>"))).drop("plain")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op4_packing": op4_packing, "op5_media": op5_media, "op6_bpe": op6_bpe, "op7_licenses": op7_licenses, "op8_huffman": op8_huffman, "op10_near_dedup": op10_near_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_dedup": op3_suffix_dedup, "op4_packing": op4_packing, "op5_media": op5_media, "op6_bpe": op6_bpe, "op7_licenses": op7_licenses, "op8_huffman": op8_huffman, "op9_html": op9_html, "op10_near_dedup": op10_near_dedup}
 SQL: dict[str, str] = {}

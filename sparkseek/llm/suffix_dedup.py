@@ -139,39 +139,51 @@ def left_chain(left: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
 def repeated(common: np.ndarray, left: list[bytes], size: np.ndarray, members: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """(key, x, first word, end word, key of the first document that holds it) of the removable stretches around the members."""
     most = window - gram
-    chain, before = left_chain(left, most)
     entry, key, x, place = members
-    n, e = len(entry), len(common)
+    n = len(entry)
     out = np.zeros((n, most + 3), bool)
     source = np.zeros((n, most + 1), np.int64)
     order = np.lexsort((place, x, key))  # rank by document and place, for the least of a group
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    least = np.full(e, n, np.int64)
+    least = np.full(len(common), n, np.int64)
     np.minimum.at(least, entry, rank)
-    for j in range(most + 1):
-        ok = (before >= j) & (size >= window - j)
-        cluster = np.cumsum(common < window - j)
-        own = np.flatnonzero(ok)
-        if not len(own):
-            continue
-        by = np.lexsort((chain[j, own], cluster[own]))
-        own = own[by]
-        new = np.concatenate([[True], (cluster[own][1:] != cluster[own][:-1]) | (chain[j, own][1:] != chain[j, own][:-1])])
-        group = np.cumsum(new) - 1
-        first = np.minimum.reduceat(least[own], np.flatnonzero(new))
-        of_entry = np.full(e, -1, np.int64)
-        of_entry[own] = first[group]
-        f = of_entry[entry]
+    for j, group in families(common, left, size, window, gram):
+        first = np.full(len(common), n, np.int64)
+        has = group >= 0
+        np.minimum.at(first, group[has], least[has])
+        f = np.where(has, first[np.maximum(group, 0)], -1)[entry]
         has = f >= 0
         m = order[np.maximum(f, 0)]
         same = (key[m] == key) & (x[m] == x)
         out[:, j + 1] = has & (~same | (place[m] + window <= place))
         source[:, j] = key[m]
+    row, first_word, end_word, high = stretches_of(out, place, window)
+    return key[row], x[row], first_word, end_word, source[row, high]
+
+
+def families(common: np.ndarray, left: list[bytes], size: np.ndarray, window: int, gram: int):
+    """For each j, the number of words before the anchor, in turn: a group number for each entry, the same for those whose
+    windows from j words before the anchor on are equal; -1 where there is no such window."""
+    chain, before = left_chain(left, window - gram)
+    for j in range(window - gram + 1):
+        own = np.flatnonzero((before >= j) & (size >= window - j))
+        if not len(own):
+            continue
+        cluster = np.cumsum(common < window - j)
+        own = own[np.lexsort((chain[j, own], cluster[own]))]
+        new = np.concatenate([[True], (cluster[own][1:] != cluster[own][:-1]) | (chain[j, own][1:] != chain[j, own][:-1])])
+        group = np.full(len(common), -1, np.int64)
+        group[own] = np.cumsum(new) - 1
+        yield j, group
+
+
+def stretches_of(out: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """From flags by member and j + 1: member, first and end word, and greatest j of each stretch of flagged windows."""
     begin = out[:, 1:-1] & ~out[:, :-2]  # least j of a stretch: its end
     stop = out[:, 1:-1] & ~out[:, 2:]  # greatest j: its start
     (row, low), (_, high) = np.nonzero(begin), np.nonzero(stop)
-    return key[row], x[row], place[row] - high, place[row] - low + window, source[row, high]
+    return row, place[row] - high, place[row] - low + window, high
 
 
 def _documents(df: DataFrame, text: str, key: str) -> DataFrame:
