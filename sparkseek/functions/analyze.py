@@ -71,4 +71,8 @@ def basic_tokens(text: Column, lower: bool = True) -> Column:
 def topic_vector(text: Column, topics: dict[str, set[str]]) -> Column:
     """How many words of each topic's lexicon the text has: a toy embedding."""
     words = standard()(text)
-    return F.array(*(F.size(F.filter(words, lambda w, own=tuple(sorted(own)): w.isin(*own))).cast("float") for own in topics.values()))
+
+    def count(lexicon: set[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*sorted(lexicon)))).cast("float")
+
+    return F.array(*map(count, topics.values()))

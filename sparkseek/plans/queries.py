@@ -1,4 +1,413 @@
-"""Registered queries of the search engine, and the same in SQL."""
+"""Registered queries of the search engine over the given tables, and the same in SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Vectors are all of `embeddings` (attributes: their label), and each of them is a query; documents are all of
+`documents` (attributes: lang and source); texts that are searched for are all of `benchmark`.  The tables declare no
+relation between documents and vectors; hybrid queries pair equal ids.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkseek.config import Metric, Quantization
+from sparkseek.functions import analyze as A
+from sparkseek.functions import vectors as V
+from sparkseek.functions.filters import attr_eq, attr_ne
+from sparkseek.operators import bm25, corpus, embed, fusion, knn
+from sparkseek.streaming import sync
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+K, DIMENSIONS, CANDIDATES = 10, 64, 50
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("attributes"))
+
+
+def vector_queries(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+
+
+def documents(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text", F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("attributes"))
+
+
+def text_queries(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def pairs(spark, sf):
+    return documents(spark, sf).join(vectors(spark, sf).select("key", "vector"), "key")
+
+
+def pair_queries(spark, sf):
+    return text_queries(spark, sf).join(vector_queries(spark, sf), "qid")
+
+
+# SQL fragments ---------------------------------------------------------------------------------------------------------
+def _sum(x: str) -> str:
+    return f"list_reduce({x}, lambda a, b: a + b)"
+
+
+def _dot(a: str, b: str) -> str:
+    return _sum(f"list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2])")
+
+
+_ROOT = "CAST(sqrt({}) AS FLOAT)"
+_ONE = "(CAST(1 AS FLOAT) - (CAST(1 AS FLOAT) - ({})))"
+_FIRST = "SELECT vec_id AS key, label, embedding AS x, " + _sum("list_transform(embedding, lambda x: x * x)") + " AS ss FROM embeddings"
+_UNIT = f"n0 AS ({_FIRST}), n AS (SELECT key, label, x, CASE WHEN ss > 0 THEN list_transform(x, lambda y: y * CAST(1.0::DOUBLE / {_ROOT.format('ss')} AS FLOAT)) ELSE x END AS v FROM n0)"
+_PLAIN = "n AS (SELECT vec_id AS key, label, embedding AS x, embedding AS v FROM embeddings)"
+_COSINE = _ONE.format(_dot("q.v", "d.v"))
+_EUCLIDEAN = f"-{_ROOT.format(_sum('list_transform(list_zip(q.v, d.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))'))}"
+_INT8 = "c0 AS (SELECT *, list_max(list_transform(v, lambda y: abs(y))) AS most FROM n), c1 AS (SELECT *, CASE WHEN most > 0 THEN CAST(most::DOUBLE / 127.0 AS FLOAT) ELSE CAST(1 AS FLOAT) END AS s FROM c0), c2 AS (SELECT *, CAST(1.0::DOUBLE / s AS FLOAT) AS i FROM c1), c AS (SELECT *, list_transform(v, lambda y: CAST(greatest(-127.0, least(127.0, floor(CAST(y * i AS DOUBLE) + 0.5))) AS TINYINT)) AS c FROM c2)"
+
+
+def _top(ctes: str, score: str, k: int = K, side: str = "n", where: str = "TRUE", columns: str = "qid, key, score, rank") -> str:
+    return f"WITH {ctes}, s AS (SELECT q.key AS qid, d.key AS key, {score} AS score FROM n q, {side} d WHERE {where}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS INTEGER) AS rank FROM s) SELECT {columns} FROM r WHERE rank <= {k}"
+
+
+_TERMS = r"list_filter(string_split_regex(lower(translate(text, 'İΣ', 'iσ')), '(?:[^\p{L}\p{Nd}]|[\x{10000}-\x{10FFFF}])+'), lambda t: t <> '')"
+_STOP = "(" + ", ".join(f"'{w}'" for w in A.ENGLISH) + ")"
+
+
+def _cased(t: str) -> str:
+    one = f"CASE WHEN length({t}) > 4 AND suffix({t}, 'ies') THEN left({t}, length({t}) - 3) || 'y' WHEN length({t}) > 4 AND (suffix({t}, 'ses') OR suffix({t}, 'xes') OR suffix({t}, 'zes') OR suffix({t}, 'ches') OR suffix({t}, 'shes')) THEN left({t}, length({t}) - 2) WHEN length({t}) > 3 AND suffix({t}, 's') AND NOT suffix({t}, 'ss') THEN left({t}, length({t}) - 1) ELSE {t} END"
+    return one
+
+
+def _stemmed(terms: str) -> str:
+    two = "CASE WHEN length(u) > 5 AND suffix(u, 'ing') THEN left(u, length(u) - 3) WHEN length(u) > 4 AND (suffix(u, 'ed') OR suffix(u, 'ly')) THEN left(u, length(u) - 2) ELSE u END"
+    return f"list_transform(list_transform({terms}, lambda t: {_cased('t')}), lambda u: {two})"
+
+
+_STOP_STEM = _stemmed(f"list_filter({_TERMS}, lambda t: length(t) >= 2 AND t NOT IN {_STOP})")
+_IDF = "ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))"
+
+
+def _stats(terms: str = _TERMS, docs: str = "documents") -> str:
+    return f"a AS (SELECT doc_id AS key, lang, source, {terms} AS terms FROM {docs}), st AS (SELECT count(*) AS n, CASE WHEN sum(len(terms)) > 0 THEN sum(len(terms))::DOUBLE / count(*) ELSE 1.0 END AS avgdl FROM a), x AS (SELECT key, lang, source, len(terms) AS dl, unnest(terms) AS term FROM a), tf AS (SELECT key, lang, source, dl, term, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"
+
+
+def _bm25(terms: str = _TERMS, where: str = "TRUE", docs: str = "documents", asked: str = "benchmark") -> str:
+    k1 = "1.2000000476837158::DOUBLE"
+    part = f"{_IDF} * (tf * ({k1} + 1.0::DOUBLE)) / (tf + {k1} * (1.0::DOUBLE - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))"
+    return f"{_stats(terms, docs)}, qt AS (SELECT DISTINCT item_id AS qid, unnest({terms}) AS term FROM {asked}), b AS (SELECT qid, key, CAST(sum({part} ORDER BY term) AS FLOAT) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), st WHERE {where} GROUP BY qid, key)"
+
+
+def _ranked(source: str, k: int) -> str:
+    return f"SELECT qid, key, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS INTEGER) AS rank FROM {source} QUALIFY rank <= {k}"
+
+
+def _fused(lists: str, limit: int, k: int = 60) -> str:
+    return f"u AS ({lists}), f AS (SELECT qid, key, CAST(sum(CAST(1.0::DOUBLE / ({k} + rank) AS FLOAT)) AS FLOAT) AS score, min(list_idx * 1000000 + rank) AS first FROM u GROUP BY qid, key) SELECT qid, key, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, first) AS INTEGER) AS rank FROM f QUALIFY rank <= {limit}"
+
+
+def _hybrid(where: str = "TRUE", text_where: str = "TRUE") -> str:
+    near = f"p AS (SELECT key, v, source FROM n JOIN documents ON doc_id = key), s AS (SELECT q.key AS qid, d.key AS key, {_COSINE} AS score FROM n q, p d WHERE q.key IN (SELECT item_id FROM benchmark) AND {where})"
+    docs = "(SELECT d.* FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
+    asked = "(SELECT b.* FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)"
+    return f"WITH {_UNIT}, {near}, {_bm25(where=text_where, docs=docs, asked=asked)}, l0 AS ({_ranked('s', CANDIDATES)}), l1 AS ({_ranked('b', CANDIDATES)}), " + _fused("SELECT qid, key, rank, 0 AS list_idx FROM l0 UNION ALL SELECT qid, key, rank, 1 AS list_idx FROM l1", K)
+
+
+# vectors ---------------------------------------------------------------------------------------------------------------
+@query(_top(_UNIT, _COSINE))
+def knn_cosine(spark, sf):
+    return knn.nearest(vectors(spark, sf), vector_queries(spark, sf), K, dimensions=DIMENSIONS)
+
+
+@query(_top(_PLAIN, _dot("q.v", "d.v")))
+def knn_dot(spark, sf):
+    return knn.nearest(vectors(spark, sf), vector_queries(spark, sf), K, Metric.DOT)
+
+
+@query(_top(_PLAIN, _EUCLIDEAN))
+def knn_euclidean(spark, sf):
+    return knn.nearest(vectors(spark, sf), vector_queries(spark, sf), K, Metric.EUCLIDEAN)
+
+
+@query(_top(_UNIT, _COSINE, where="d.label IS DISTINCT FROM 3"))
+def knn_filtered(spark, sf):
+    return knn.nearest(vectors(spark, sf), vector_queries(spark, sf), K, where=attr_ne("label", "3"))
+
+
+@query(f"WITH {_PLAIN}, {_INT8}, s AS (SELECT q.key AS qid, d.key AS key, {_dot('q.v', 'list_transform(d.c, lambda y: CAST(y AS FLOAT))')} * d.s AS score FROM n q, c d), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS INTEGER) AS rank FROM s) SELECT qid, key, score, rank FROM r WHERE rank <= {K}")
+def knn_int8(spark, sf):
+    return knn.nearest(vectors(spark, sf), vector_queries(spark, sf), K, Metric.DOT, quantization=Quantization.INT8)
+
+
+_SIGN = "(CASE WHEN y >= 0 THEN 1 ELSE -1 END)"
+_BIN = f"d0 AS (SELECT key, list_transform(v, lambda y: CAST({_SIGN} AS FLOAT)) AS g FROM n)"
+
+
+@query(_top(f"{_UNIT}, {_BIN}", _ONE.format(_dot("q.v", "d.g") + " * CAST(0.125 AS FLOAT)"), side="d0"))
+def knn_binary(spark, sf):
+    return knn.nearest(vectors(spark, sf), vector_queries(spark, sf), K, quantization=Quantization.BINARY, dimensions=DIMENSIONS)
+
+
+@query(f"WITH {_PLAIN}, {_INT8} SELECT key, list_sum(list_transform(c, lambda y: CAST(y AS BIGINT)))::BIGINT AS code_sum, s AS scale, CAST({DIMENSIONS} + 4 AS INTEGER) AS n_bytes FROM c")
+def quantize_int8(spark, sf):
+    v = vectors(spark, sf).select("key", V.int8_codes(F.col("vector")).alias("c"), V.int8_scale(F.col("vector")).alias("scale"))
+    return v.select("key", F.aggregate("c", F.lit(0).cast("bigint"), lambda s, x: s + x.cast("bigint")).alias("code_sum"), "scale", F.lit(V.vector_bytes(DIMENSIONS, Quantization.INT8)).alias("n_bytes"))
+
+
+@query("SELECT vec_id AS key, CAST(list_sum(list_transform(embedding, lambda y: CASE WHEN y >= 0 THEN 1 ELSE 0 END)) AS INTEGER) AS ones, CAST(8 AS INTEGER) AS n_bytes FROM embeddings")
+def quantize_binary(spark, sf):
+    return vectors(spark, sf).select("key", F.bit_count(V.bits(F.col("vector"), DIMENSIONS)[0]).cast("int").alias("ones"), F.lit(V.vector_bytes(DIMENSIONS, Quantization.BINARY)).alias("n_bytes"))
+
+
+@query(f"WITH {_PLAIN}, {_BIN} SELECT a.key AS key, b.key AS other, CAST({DIMENSIONS} - list_sum(list_transform(list_zip(a.g, b.g), lambda p: CASE WHEN p[1] = p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM d0 a, d0 b WHERE a.key < b.key")
+def hamming(spark, sf):
+    own = vectors(spark, sf).select("key", V.bits(F.col("vector"), DIMENSIONS).alias("b"))
+    other = own.select(F.col("key").alias("other"), F.col("b").alias("c"))
+    return own.join(other, F.col("key") < F.col("other")).select("key", "other", V.hamming(F.col("b"), F.col("c")).alias("distance"))
+
+
+_EXACT = f"CASE WHEN q.l * d.l = 0 THEN CAST(0 AS FLOAT) ELSE CAST({_dot('q.x', 'd.x')}::DOUBLE / (q.l * d.l) AS FLOAT) END"
+_LENGTHS = f"e AS (SELECT key, label, x, {_ROOT.format(_sum('list_transform(x, lambda y: y * y)'))} AS l FROM n)"
+
+
+@query(f"WITH {_UNIT}, {_BIN}, {_LENGTHS}, s AS (SELECT q.key AS qid, d.key AS key, {_ONE.format(_dot('q.v', 'd.g') + ' * CAST(0.125 AS FLOAT)')} AS score FROM n q, d0 d), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS pos FROM s QUALIFY pos <= 100), t AS (SELECT qid, d.key AS key, {_EXACT} AS score, pos FROM r JOIN e d ON r.key = d.key JOIN e q ON r.qid = q.key) SELECT qid, key, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS INTEGER) AS rank FROM t QUALIFY rank <= {K}")
+def two_phase_binary(spark, sf):
+    return knn.two_phase(vectors(spark, sf), vector_queries(spark, sf), K, 100)
+
+
+@query(f"WITH {_PLAIN}, {_LENGTHS}, r AS (SELECT e.vec_id AS qid, d.vec_id AS key, min(d.vec_id % 7) AS pos FROM embeddings e JOIN embeddings d ON e.label = d.label GROUP BY ALL), t AS (SELECT qid, d.key AS key, {_EXACT} AS score, pos FROM r JOIN e d ON r.key = d.key JOIN e q ON r.qid = q.key) SELECT qid, key, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos, key) AS INTEGER) AS rank FROM t QUALIFY rank <= {K}")
+def rerank_candidates(spark, sf):
+    """Candidates are the vectors of the same label, each twice."""
+    e = table(spark, sf, "embeddings")
+    found = e.select(F.col("vec_id").alias("qid"), "label").join(e.select(F.col("vec_id").alias("key"), "label"), "label")
+    found = found.select("qid", "key", F.struct((F.col("key") % 7).alias("pos"), "key").alias("pos"))
+    return knn.rerank(found.unionByName(found), vectors(spark, sf), vector_queries(spark, sf), K)
+
+
+@query(f"WITH {_UNIT} SELECT key, CAST(round({_sum('list_transform(v, lambda y: y * y)')}, 4) AS FLOAT) AS squares, v[1] AS first FROM n")
+def l2_normalize(spark, sf):
+    own = vectors(spark, sf).select("key", V.normalized(F.col("vector")).alias("v"))
+    return own.select("key", F.round(V.sum_of_squares(F.col("v")), 4).cast("float").alias("squares"), F.col("v")[0].alias("first"))
+
+
+# text ------------------------------------------------------------------------------------------------------------------
+def _counted(terms: str) -> str:
+    return f"SELECT doc_id AS key, term, count(*) AS n FROM (SELECT doc_id, unnest({terms}) AS term FROM documents) GROUP BY ALL"
+
+
+def _term_counts(spark, sf, analyzer):
+    return documents(spark, sf).select("key", F.explode(analyzer(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
+
+
+@query(_counted(_TERMS))
+def analyze_standard(spark, sf):
+    return _term_counts(spark, sf, A.standard())
+
+
+@query(_counted(_STOP_STEM))
+def analyze_stop_stem(spark, sf):
+    return _term_counts(spark, sf, A.standard(A.ENGLISH, 2, A.light_stem))
+
+
+_RUNS = r"list_filter(string_split_regex(lower(translate(text, 'İΣ', 'iσ')), '[\p{Z}\t-\r\x1c-\x1f]+'), lambda t: t <> '')"
+
+
+@query(_counted(f"flatten(list_transform({_RUNS}, lambda r: CASE WHEN length(r) <= 3 THEN [r] ELSE list_transform(range(1, length(r) - 1), lambda i: substring(r, i, 3)) END))"))
+def analyze_ngram(spark, sf):
+    return _term_counts(spark, sf, A.ngrams(3))
+
+
+@query(_counted(r"regexp_extract_all(lower(translate(text, 'İΣ', 'iσ')), '[\p{L}\p{Nd}]+|[^\p{L}\p{Nd}\p{Z}\t-\r\x1c-\x1f]')"))
+def basic_tokenize(spark, sf):
+    return _term_counts(spark, sf, A.basic_tokens)
+
+
+@query(f"WITH {_stats()} SELECT key, term, tf, dl FROM tf")
+def term_freq(spark, sf):
+    return bm25.term_frequencies(documents(spark, sf))
+
+
+@query(f"WITH {_stats()} SELECT term, df, CAST({_IDF} AS FLOAT) AS idf FROM df, st")
+def doc_freq_idf(spark, sf):
+    d = documents(spark, sf)
+    rows = bm25.document_frequencies(bm25.term_frequencies(d)).crossJoin(F.broadcast(bm25.corpus_stats(d)))
+    return rows.select("term", "df", bm25.idf(F.col("n"), F.col("df")).cast("float").alias("idf"))
+
+
+@query(f"WITH {_stats()} SELECT n, avgdl FROM st")
+def corpus_stats(spark, sf):
+    return bm25.corpus_stats(documents(spark, sf))
+
+
+@query(f"WITH {_bm25()} {_ranked('b', K)}")
+def bm25_search(spark, sf):
+    return bm25.text_search(documents(spark, sf), text_queries(spark, sf), K)
+
+
+@query(f"WITH {_bm25(_STOP_STEM)} {_ranked('b', K)}")
+def bm25_stemmed(spark, sf):
+    return bm25.text_search(documents(spark, sf), text_queries(spark, sf), K, A.standard(A.ENGLISH, 2, A.light_stem))
+
+
+@query(f"WITH {_bm25(where=chr(39).join(['lang = ', 'en', '']))} {_ranked('b', K)}")
+def bm25_filtered(spark, sf):
+    d = documents(spark, sf)
+    return bm25.text_search(d, text_queries(spark, sf), K, where=d.where(attr_eq("lang", "en")))
+
+
+# fusion ----------------------------------------------------------------------------------------------------------------
+@query("WITH u0 AS (SELECT user_id AS qid, event_type AS key, 0 AS list_idx, count(*) AS s FROM events GROUP BY ALL UNION ALL SELECT user_id, event_type, 1, sum(CAST(round(value) AS BIGINT)) FROM events GROUP BY ALL), " + _fused("SELECT qid, key, list_idx, row_number() OVER (PARTITION BY qid, list_idx ORDER BY s DESC, key) AS rank FROM u0", 3))
+def rrf_fuse(spark, sf):
+    """Event types of each user, by number and by sum."""
+    from pyspark.sql import Window as W
+
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("qid"), F.col("event_type").alias("key"))
+    e = e.agg(F.count("*").alias("0"), F.sum(F.round("value").cast("bigint")).alias("1")).unpivot(["qid", "key"], ["0", "1"], "list_idx", "s").withColumn("list_idx", F.col("list_idx").cast("int"))
+    return fusion.fuse(e.withColumn("rank", F.row_number().over(W.partitionBy("qid", "list_idx").orderBy(F.desc("s"), "key"))).drop("s"), 3)
+
+
+@query(_hybrid())
+def hybrid_search(spark, sf):
+    return fusion.hybrid_search(pairs(spark, sf), pair_queries(spark, sf), K)
+
+
+@query(_hybrid("d.source IS DISTINCT FROM 'src0'", "source IS DISTINCT FROM 'src0'"))
+def hybrid_filtered(spark, sf):
+    return fusion.hybrid_search(pairs(spark, sf), pair_queries(spark, sf), K, where=attr_ne("source", "src0"))
+
+
+# changes ---------------------------------------------------------------------------------------------------------------
+@query("SELECT CASE WHEN b.item_id IS NULL THEN d.doc_id ELSE b.item_id END AS key, CASE WHEN b.item_id IS NULL THEN d.text ELSE b.text END AS text FROM documents d FULL JOIN benchmark b ON d.doc_id = b.item_id")
+def corpus_upsert(spark, sf):
+    return corpus.upsert(documents(spark, sf).select("key", "text"), text_queries(spark, sf).withColumnRenamed("qid", "key"))
+
+
+@query("SELECT doc_id AS key, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def corpus_delete(spark, sf):
+    gone = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("key"))
+    return corpus.delete(documents(spark, sf).select("key", "text"), gone)
+
+
+@query("SELECT DISTINCT doc_id AS key, doc_id IN (SELECT vec_id FROM embeddings) AS present FROM documents")
+def corpus_contains(spark, sf):
+    return corpus.contains(vectors(spark, sf), documents(spark, sf).select("key"))
+
+
+_EVENTS = "en AS (SELECT CAST(ts AS DATE) AS s, user_id AS k, max(event_id) AS v, max(event_id) AS p FROM events GROUP BY ALL), idx AS (SELECT s, row_number() OVER (ORDER BY s) AS i FROM (SELECT DISTINCT CAST(ts AS DATE) AS s FROM events)), x AS (SELECT i, p, k, v, lag(i) OVER w AS li, lag(v) OVER w AS lv FROM en JOIN idx USING (s) WINDOW w AS (PARTITION BY k ORDER BY i, p)), ups AS (SELECT i, p, 'upsert' AS op, k FROM x WHERE li IS NULL OR li < i - 1 OR v IS DISTINCT FROM lv), ki AS (SELECT DISTINCT i, k FROM x), rem AS (SELECT i + 1 AS i, NULL AS p, 'remove' AS op, k FROM (SELECT i, k, lead(i) OVER (PARTITION BY k ORDER BY i) AS ni FROM ki) WHERE i < (SELECT max(i) FROM idx) AND (ni IS NULL OR ni > i + 1)), ops AS (SELECT * FROM ups UNION ALL SELECT * FROM rem)"
+
+
+def _operations(spark, sf):
+    """A snapshot a day: its users, each with the last event as version."""
+    e = table(spark, sf, "events").select(F.to_date("ts").alias("snapshot_id"), F.col("user_id").alias("key"), "event_id")
+    rows = e.groupBy("snapshot_id", "key").agg(F.max("event_id").alias("version")).withColumn("pos", F.col("version"))
+    return sync.reconcile(rows, e.select("snapshot_id"))
+
+
+@query(f"WITH {_EVENTS} SELECT CAST(i AS INTEGER) AS i, p AS pos, op, k AS key FROM ops")
+def reconcile_ops(spark, sf):
+    return _operations(spark, sf)
+
+
+@query(f"WITH {_EVENTS} SELECT k AS key, CAST(i AS INTEGER) AS i, p AS pos FROM ops QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC, p DESC NULLS LAST) = 1 AND op = 'upsert'")
+def reconcile_final(spark, sf):
+    return sync.final_state(_operations(spark, sf))
+
+
+# embedding -------------------------------------------------------------------------------------------------------------
+TOPICS = {"one": {"the", "of", "and"}, "two": {"der", "die", "und"}, "three": {"de", "la", "le"}}
+
+
+@query("SELECT doc_id AS key, " + ", ".join(f"CAST(len(list_filter({_TERMS}, lambda w: w IN ({', '.join(repr(w) for w in sorted(ws))}))) AS FLOAT) AS {t}" for t, ws in TOPICS.items()) + " FROM documents")
+def toy_embed(spark, sf):
+    v = documents(spark, sf).select("key", A.topic_vector(F.col("text"), TOPICS).alias("v"))
+    return v.select("key", *(F.col("v")[i].alias(t) for i, t in enumerate(TOPICS)))
+
+
+_POOL = "g AS (SELECT label, list(embedding ORDER BY vec_id) AS ts FROM embeddings GROUP BY label)"
+
+
+def _tokens(spark, sf):
+    e = table(spark, sf, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("t"))
+    return e.select("label", F.col("t.embedding").alias("ts"))
+
+
+@query(f"WITH {_POOL} SELECT label, len(ts) AS n, " + ", ".join(f"CAST({_sum(f'list_transform(ts, lambda v: v[{i}])')}::DOUBLE / len(ts) AS FLOAT) AS m{i}" for i in (1, 32, 64)) + " FROM g")
+def mean_pool(spark, sf):
+    """The vectors of a label taken as those of one text's tokens."""
+    own = _tokens(spark, sf)
+    m = own.select("label", F.size("ts").cast("bigint").alias("n"), embed.mean_pool(F.col("ts"), F.transform("ts", lambda _: F.lit(1))).alias("m"))
+    return m.select("label", "n", *(F.col("m")[i - 1].alias(f"m{i}") for i in (1, 32, 64)))
+
+
+@query(f"WITH {_POOL} SELECT label, ts[1][1] AS m1, ts[1][64] AS m64 FROM g")
+def cls_pool(spark, sf):
+    m = _tokens(spark, sf).select("label", embed.cls_pool(F.col("ts")).alias("m"))
+    return m.select("label", F.col("m")[0].alias("m1"), F.col("m")[63].alias("m64"))
+
+
+# composed --------------------------------------------------------------------------------------------------------------
+@query(f"WITH near AS ({_top(_UNIT, _COSINE, k=11)}), v AS (SELECT qid, label, count(*) AS votes FROM near JOIN embeddings ON vec_id = key WHERE key <> qid GROUP BY ALL) SELECT qid, label, votes FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) = 1")
+def knn_classify(spark, sf):
+    from pyspark.sql import Window as W
+
+    near = knn.nearest(vectors(spark, sf), vector_queries(spark, sf), K + 1).where("key <> qid")
+    votes = near.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), "label"), "key").groupBy("qid", "label").agg(F.count("*").alias("votes"))
+    return votes.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("votes"), "label"))).where("n = 1").drop("n")
+
+
+@query(f"WITH {_UNIT} SELECT q.key AS key, d.key AS other, {_COSINE} AS score FROM n q, n d WHERE q.key < d.key AND {_COSINE} >= CAST(0.4 AS FLOAT)")
+def near_vectors(spark, sf):
+    own = vectors(spark, sf).select("key", V.normalized(F.col("vector")).alias("v"))
+    other = own.select(F.col("key").alias("other"), F.col("v").alias("w"))
+    rows = own.join(other, F.col("key") < F.col("other")).select("key", "other", V.score(F.col("v"), F.col("w"), Metric.COSINE).alias("score"))
+    return rows.where(F.col("score") >= F.lit(0.4).cast("float"))
+
+
+@query(f"WITH {_UNIT}, s AS (SELECT q.key AS qid, d.key AS key, {_COSINE} AS score FROM n q, n d WHERE d.key < q.key) SELECT qid, key AS hit, score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) = 1 AND score >= CAST(0.4 AS FLOAT)")
+def semantic_cache(spark, sf):
+    """For each vector the closest of those before it, if close enough to answer for it."""
+    asked = vector_queries(spark, sf).select("qid", V.normalized(F.col("query")).alias("q"))
+    own = vectors(spark, sf).select("key", V.normalized(F.col("vector")).alias("v"))
+    rows = own.join(F.broadcast(asked) if knn.small(asked) else asked, F.col("key") < F.col("qid")).select("qid", "key", V.score(F.col("q"), F.col("v"), Metric.COSINE).alias("score"))
+    return knn.best(rows, 1).where(F.col("score") >= F.lit(0.4).cast("float")).select("qid", F.col("key").alias("hit"), "score")
+
+
+# without SQL -----------------------------------------------------------------------------------------------------------
+@query()
+def ann_ivf(spark, sf):
+    from sparkseek.operators import ann
+
+    v = vectors(spark, sf)
+    centers = ann.centroids(v, 16)
+    return ann.ivf_search(ann.ivf_index(v, centers), centers, vector_queries(spark, sf), K, 8)
+
+
+@query()
+def ann_graph(spark, sf):
+    from sparkseek.operators import ann
+
+    return ann.graph_search(vectors(spark, sf), vector_queries(spark, sf), K)
+
+
+@query()
+def wordpiece(spark, sf):
+    """A vocabulary of characters and the topics' words."""
+    words = sorted({w for ws in TOPICS.values() for w in ws})
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    tokenizer = embed.WordPiece({t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *(f"##{c}" for c in letters), *(w for w in words if len(w) > 1)])})
+    return documents(spark, sf).select("key", embed.wordpiece(F.col("text"), tokenizer)["input_ids"].alias("input_ids"))
