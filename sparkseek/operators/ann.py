@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkseek.config import GraphConfig, Metric, at_least
 from sparkseek.functions import vectors as V
@@ -139,7 +140,7 @@ def graph_search(vectors: DataFrame, queries: DataFrame, k: int, shards: int = 8
     if not small(queries):
         raise ValueError("too many queries for one broadcast; search in batches")
     asked = [(r.qid, r.q) for r in queries.select("qid", V.prepared(F.col("query"), metric).alias("q")).collect()]
-    kinds = {f.name: f.dataType.simpleString() for f in (*vectors.schema, *queries.schema)}
+    kinds = {f.name: (f.dataType.simpleString(), to_arrow_type(f.dataType)) for f in (*vectors.select("key").schema, *queries.select("qid").schema)}
     shared = vectors.sparkSession.sparkContext.broadcast(asked)
     own = vectors.select(F.pmod(F.xxhash64("key"), F.lit(at_least("shards", shards))).alias("shard"), "key", V.prepared(F.col("vector"), metric).alias("v"), (F.lit(True) if accept is None else F.coalesce(F.col(accept), F.lit(False))).alias("ok"))
 
@@ -150,6 +151,6 @@ def graph_search(vectors: DataFrame, queries: DataFrame, k: int, shards: int = 8
         g = Graph(data.shape[1], metric, config)
         g.add_all(data)
         rows = [(qid, keys[i], -d) for qid, q in shared.value for d, i in g.search(np.array(q, np.float32), k, ef or config.ef_search, ok)]
-        return pa.table({"qid": [r[0] for r in rows], "key": [r[1] for r in rows], "score": pa.array([r[2] for r in rows], pa.float32())})
+        return pa.table({"qid": pa.array([r[0] for r in rows], kinds["qid"][1]), "key": pa.array([r[1] for r in rows], kinds["key"][1]), "score": pa.array([r[2] for r in rows], pa.float32())})
 
-    return best(own.groupBy("shard").applyInArrow(run, f"qid {kinds['qid']}, key {kinds['key']}, score float"), k)
+    return best(own.groupBy("shard").applyInArrow(run, f"qid {kinds['qid'][0]}, key {kinds['key'][0]}, score float"), k)

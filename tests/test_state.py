@@ -83,12 +83,15 @@ def test_storage(spark, tmp_path):
 VOCABULARY = embed.parse_vocabulary("\n".join(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "kotlin", "search", "engine", "##s", "world", ".", "un", "##aff", "##able", "hello", ","]))
 
 
-class Fake:
-    def run(self, ids, mask, types):
-        return np.array([[i + 1.0] * 4 for i in range(len(ids))], np.float32)
+def fake():
+    class Fake:
+        def run(self, ids, mask, types):
+            return np.array([[i + 1.0] * 4 for i in range(len(ids))], np.float32)
 
-    def close(self):
-        pass
+        def close(self):
+            pass
+
+    return Fake
 
 
 def test_wordpiece(spark):
@@ -104,12 +107,13 @@ def test_wordpiece(spark):
 
 
 def test_embedding(spark):
+    Fake = fake()
     t = embed.WordPiece(VOCABULARY)
     df = spark.createDataFrame([("kotlin search",), (None,)], "text string")
     mean = [r.vector for r in embed.embed(df, t, Fake, embed.EmbedderConfig(normalize=False)).collect()]
     assert mean == [[2.5] * 4, [1.5] * 4]
     assert embed.embed(df, t, Fake, embed.EmbedderConfig(pooling="cls", normalize=False)).first().vector == [1.0] * 4
-    assert embed.embed(df, t, lambda: embed.CallbackSession(Fake().run)).first().vector == pytest.approx([0.5] * 4)
+    assert embed.embed(df, t, lambda: embed.CallbackSession(lambda ids, mask, types: np.array([[1.0] * 4 for _ in ids], np.float32))).first().vector == pytest.approx([0.5] * 4)
     pooled = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0])], "t array<array<float>>, m array<int>").select(embed.mean_pool(F.col("t"), F.col("m")), embed.cls_pool(F.col("t"))).first()
     assert pooled[0] == [2.0, 3.0] and pooled[1] == [1.0, 2.0]
     with pytest.raises(ValueError):
