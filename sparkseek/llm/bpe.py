@@ -4,7 +4,7 @@ Words are counted over all texts; those that make up at least FREQUENT of all wo
 words, whatever the corpus) are merged once and compiled into a minimal acyclic automaton with shared suffixes.  Its arcs
 carry numbers; their sum along a word's path is the word's place in a table of ids.  Automaton, table and vocabulary are
 one file that Spark brings to the executors, where workers map it into memory and walk it for all distinct words of a
-batch at once.  Words it doesn't hold are merged exactly, by a heap, in O(n log n) for words of any length.
+batch at once.  Words it doesn't hold are merged exactly, side by side, very long ones by a heap in O(n log n).
 
 The result is that of the plain encoder, whatever words are frequent.  The vocabulary is a file of "base64 rank" lines;
 its path is a parameter.  Defined results: null gives null, empty text no ids; texts of any length are encoded whole;
@@ -28,7 +28,8 @@ from .shared import shared_file, written
 from .text import parts, ragged, span_hashes, utf8
 
 VOCABULARY, FREQUENT = "/opt/tokenizers/byte_bpe_50k.tiktoken", 5e-6
-MEMORY = 1 << 18  # words a worker remembers beside the automaton
+LONG, DECODED = 64, 1 << 18  # bytes of a word that is merged by itself, ids that are decoded at once
+NEVER = np.int64(1 << 60)
 
 
 @lru_cache(1)
@@ -166,15 +167,23 @@ def compiled(lexicon: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.array(keys, np.int64)[order], np.array(targets, np.int32)[order], np.array(numbers, np.int32)[order], finals
 
 
-_KINDS = (np.int64, np.int32, np.int32, np.uint8, np.int64, np.int32, np.int64, np.uint8)
+_KINDS = (np.int64, np.int32, np.int32, np.uint8, np.int64, np.int32, np.int64, np.uint8, np.int64, np.int64)
+
+
+def pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys (left id << 32 | right id) of all pairs of tokens that make a token, and its id."""
+    found = [(a << 32 | b, r) for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None]
+    found.sort()
+    return np.array([k for k, _ in found], np.int64), np.array([r for _, r in found], np.int64)
 
 
 def packed(vocabulary: list[bytes], lexicon: list[bytes]) -> bytes:
-    """The file: sizes, then arc keys, targets, numbers, finals, offsets and ids of the words, offsets and bytes of the tokens."""
+    """The file: sizes, then arc keys, targets, numbers, finals, offsets and ids of the words, offsets and bytes of the tokens, and
+    pairs. The tokens are words too."""
     ranks = {t: i for i, t in enumerate(vocabulary) if t}
-    lexicon = sorted(lexicon)
+    lexicon = sorted({*lexicon, *ranks})
     ids = [merged(w, ranks) for w in lexicon]
-    sections = [*compiled(lexicon), np.cumsum([0, *map(len, ids)]), np.array([i for x in ids for i in x]), np.cumsum([0, *map(len, vocabulary)]), np.frombuffer(b"".join(vocabulary), np.uint8)]
+    sections = [*compiled(lexicon), np.cumsum([0, *map(len, ids)]), np.array([i for x in ids for i in x]), np.cumsum([0, *map(len, vocabulary)]), np.frombuffer(b"".join(vocabulary), np.uint8), *pairs(ranks)]
     head, body = [], []
     for x, kind in zip(sections, _KINDS):
         raw = np.asarray(x, kind).tobytes()
@@ -184,7 +193,7 @@ def packed(vocabulary: list[bytes], lexicon: list[bytes]) -> bytes:
 
 
 class Encoder:
-    """A mapped file, and words met so far that its automaton doesn't hold."""
+    """A mapped file."""
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
@@ -193,10 +202,10 @@ class Encoder:
         for n, kind in zip(sizes.tolist(), _KINDS):
             got.append(raw[at : at + n].view(kind))
             at += n + -n % 8
-        self.keys, self.targets, self.numbers, self.finals, self.offsets, self.ids, self.token_offsets, self.tokens = got
+        self.keys, self.targets, self.numbers, self.finals, self.offsets, self.ids, self.token_offsets, self.tokens, self.pair_keys, self.pair_ranks = got
         raw, at = self.tokens.tobytes(), self.token_offsets.tolist()
         self.ranks = {raw[at[i] : at[i + 1]]: i for i in range(len(at) - 1) if at[i + 1] > at[i]}
-        self.seen: dict[bytes, list[int]] = {}
+        self.single = np.array([self.ranks.get(bytes([b]), 0) for b in range(256)], np.int64)
 
     def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place of each word in the table, -1 for those that the automaton doesn't hold."""
@@ -220,6 +229,58 @@ class Encoder:
             step += 1
         return out
 
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id that each pair merges to, NEVER where it doesn't."""
+        if not len(self.pair_keys):
+            return np.full(len(left), NEVER)
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NEVER)
+
+    def merge_all(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merged() of many words side by side: in each round, every word's leftmost pair of least rank. Longer words go one by one."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, their lengths, ids
+        for w in np.flatnonzero(ends - starts > LONG).tolist():
+            ids = merged(data[starts[w] : ends[w]].tobytes(), self.ranks)
+            out.append((np.array([w]), np.array([len(ids)]), np.array(ids, np.int64)))
+        word = np.flatnonzero(ends - starts <= LONG)
+        n = (ends - starts)[word]
+        off = np.concatenate([[0], np.cumsum(n)])
+        symbol = self.single[data[np.arange(off[-1]) - np.repeat(off[:-1] - starts[word], n)]]
+        rank = np.append(self.ranked(symbol[:-1], symbol[1:]), NEVER)[: len(symbol)]
+        rank[off[1:] - 1] = NEVER
+        while len(word):
+            least = np.minimum.reduceat(rank, off[:-1])
+            done = least == NEVER
+            if done.any():
+                rows = np.repeat(done, n)
+                out.append((word[done], n[done], symbol[rows]))
+                word, n, least = word[~done], n[~done], least[~done]
+                symbol, rank = symbol[~rows], rank[~rows]
+                off = np.concatenate([[0], np.cumsum(n)])
+                if not len(word):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, n))
+            own = np.searchsorted(off, at, "right")
+            at = at[np.concatenate([[True], own[1:] != own[:-1]])]
+            symbol[at] = least
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            rank[at] = rank[at + 1]  # NEVER at a word's end
+            symbol, rank = symbol[keep], rank[keep]
+            at = at - np.arange(len(at))
+            n = n - 1
+            off = np.concatenate([[0], np.cumsum(n)])
+            right = at[at < off[1:] - 1]
+            rank[right] = self.ranked(symbol[right], symbol[right + 1])
+            left = at[at > off[:-1]] - 1
+            rank[left] = self.ranked(symbol[left], symbol[left + 1])
+        if not out:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        words_, sizes, ids = (np.concatenate(x) for x in zip(*out))
+        flat, at = ragged(ids, np.concatenate([[0], np.cumsum(sizes)]), np.argsort(words_))
+        return flat.astype(np.int32), at
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the rows' offsets into them."""
         data, off = utf8(column)
@@ -230,19 +291,11 @@ class Encoder:
             _, which, back = np.unique(span_hashes(d, starts, ends), return_index=True, return_inverse=True)
             s, e = starts[which], ends[which]
             place = self.places(d, s, e)
-            raw = d.tobytes()
             new = np.flatnonzero(place < 0)
-            extra: list[list[int]] = []
-            for a, b in zip(s[new].tolist(), e[new].tolist()):
-                w = raw[a:b]
-                if (ids := self.seen.get(w)) is None:
-                    if len(self.seen) >= MEMORY:
-                        self.seen.clear()
-                    ids = self.seen[w] = merged(w, self.ranks)
-                extra.append(ids)
+            extra, at = self.merge_all(d, s[new], e[new])
             place[new] = len(self.offsets) - 1 + np.arange(len(new))
-            table = np.concatenate([self.ids, np.fromiter((i for x in extra for i in x), np.int32)])
-            offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in extra], dtype=np.int64)])
+            table = np.concatenate([self.ids, extra])
+            offsets = np.concatenate([self.offsets, self.offsets[-1] + at[1:]])
             ids, at = ragged(table, offsets, place[back])
             flat.append(ids)
             counts.append(np.diff(at[rows]))
@@ -252,9 +305,12 @@ class Encoder:
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.token_offsets) - 1):
             raise ValueError("an id beyond the vocabulary")
-        raw, at = ragged(self.tokens, self.token_offsets, ids)
-        raw, cuts = raw.tobytes(), at[off].tolist()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        out: list[bytes] = []
+        for _, _, own, o in parts(ids, off, DECODED):
+            raw, at = ragged(self.tokens, self.token_offsets, own)
+            raw, cuts = raw.tobytes(), at[o].tolist()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
 
 
 @lru_cache(2)

@@ -12,15 +12,18 @@ one bit; an empty table gives an empty result; other columns are kept and column
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, BLOCK, CHECK = 18, 4096, 64
+AT_ONCE = 1 << 18  # ids that a task codes at once, to bound its memory
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -154,11 +157,37 @@ def codebook(df: DataFrame, ids: str = "token_ids", limit: int = LIMIT) -> Book:
     return Book(code_lengths(counts, limit), limit)
 
 
-BLOCKS = "array<struct<block:int,n_ids:int,n_bits:bigint,payload:binary,checkpoints:array<int>>>"
+def _portions(n: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows of about AT_ONCE ids; at least one, maybe empty."""
+    cuts = [int(i) for i in np.flatnonzero(np.diff(np.cumsum(n.astype(np.int64)) // AT_ONCE)) + 1]
+    return list(zip([0, *cuts], [*cuts, len(n)]))
+
+
+def _sums(ids: np.ndarray, off: np.ndarray) -> list[int]:
+    raw = memoryview(np.ascontiguousarray(ids, np.int32)).cast("B")
+    cuts = (4 * off).tolist()
+    return [zlib.crc32(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def checksums():
+    """An Arrow UDF from ids to their CRC-32."""
+
+    def run(column: pa.Array) -> pa.Array:
+        n = column.value_lengths().to_numpy(zero_copy_only=False)
+        return pa.array(_sums(column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)]).astype(np.int64)), pa.int64())
+
+    return F.arrow_udf(run, "bigint")
+
+
+BLOCKS = "array<struct<block:int,n_ids:int,n_bits:bigint,payload:binary,checkpoints:array<int>,checksum:bigint>>"
 
 
 def _coder(shared, block: int, step: int):
     def code(column: pa.Array) -> pa.Array:
+        n = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.concat_arrays([some(column[a:b]) for a, b in _portions(n)])
+
+    def some(column: pa.Array) -> pa.Array:
         filled = column.fill_null([]) if column.null_count else column
         n = filled.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         ids = filled.flatten().to_numpy(zero_copy_only=False)
@@ -169,40 +198,43 @@ def _coder(shared, block: int, step: int):
         off = np.concatenate([[0], np.cumsum(size)])
         words, begin, bit = shared.value.encode(ids, off)
         ends = np.zeros(len(size), np.int64)
-        some = size > 0
-        ends[some] = bit[off[1:][some] - 1] + shared.value.lengths[ids[off[1:][some] - 1]]
+        full = size > 0
+        ends[full] = bit[off[1:][full] - 1] + shared.value.lengths[ids[off[1:][full] - 1]]
         raw = words.astype(">u4").tobytes()
         payload = [raw[4 * b : 4 * b + (e + 7) // 8] for b, e in zip(begin[:-1].tolist(), ends.tolist())]
         marks = -(-size // step)
         inner = np.arange(int(marks.sum())) - np.repeat(np.cumsum(marks) - marks, marks)
         checks = bit[np.repeat(off[:-1], marks) + inner * step] if len(inner) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(marks)]).astype(np.int32)), pa.array(checks.astype(np.int32)))
-        own = pa.StructArray.from_arrays([pa.array(rank.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(ends), pa.array(payload, pa.binary()), lists], names=["block", "n_ids", "n_bits", "payload", "checkpoints"])
+        own = pa.StructArray.from_arrays([pa.array(rank.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(ends), pa.array(payload, pa.binary()), lists, pa.array(_sums(ids, off), pa.int64())], names=["block", "n_ids", "n_bits", "payload", "checkpoints", "checksum"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), own)
 
     return F.arrow_udf(code, BLOCKS)
 
 
 def huffman_encode(df: DataFrame, book: Book, ids: str = "token_ids", block: int = BLOCK, step: int = CHECK) -> DataFrame:
-    """A row per block: df's other columns, block, n_ids, n_bits, payload, checkpoints; no shuffle."""
+    """A row per block: df's other columns, block, n_ids, n_bits, payload, checkpoints, checksum (CRC-32 of its ids); no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(book)  # its size is bounded by the vocabulary
-    names = ["block", "n_ids", "n_bits", "payload", "checkpoints"]
+    names = ["block", "n_ids", "n_bits", "payload", "checkpoints", "checksum"]
     others = [c for c in df.columns if c not in (*names, ids)]
     rows = df.select(*others, F.explode(_coder(shared, block, step)(F.col(ids).cast("array<int>"))).alias("__b"))
     return rows.select(*others, "__b.*")
 
 
-def block_ids(book: Book, spark, step: int = CHECK):
+def block_ids(book: Book, spark, check: int = CHECK):
     """An Arrow UDF from (payload, n_ids, checkpoints) to ids; each block on its own."""
     shared = spark.sparkContext.broadcast(book)
 
     def read(payload: pa.Array, n: pa.Array, checks: pa.Array) -> pa.Array:
+        return pa.concat_arrays([some(payload[a:b], n[a:b], checks[a:b]) for a, b in _portions(n.to_numpy(zero_copy_only=False))])
+
+    def some(payload: pa.Array, n: pa.Array, checks: pa.Array) -> pa.Array:
         size = n.to_numpy(zero_copy_only=False).astype(np.int64)
         raw = payload.to_pylist()
         begin = np.cumsum([0, *map(len, raw)])[:-1].astype(np.int64)
         per = checks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = checks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = shared.value.decode(np.frombuffer(b"".join(raw), np.uint8), begin, size, flat, per, step)
+        ids = shared.value.decode(np.frombuffer(b"".join(raw), np.uint8), begin, size, flat, per, check)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids))
 
     return F.arrow_udf(read, "array<int>")

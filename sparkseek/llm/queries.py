@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .huffman import BLOCK
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,14 +64,13 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every text's ids, and whether they decode to them."""
     from .bpe import bpe_encode
-    from .huffman import block_ids, codebook, huffman_encode
+    from .huffman import block_ids, checksums, codebook, huffman_encode
     from .shared import written
 
     ids = written(bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "token_ids"), "ids")
     book = codebook(ids)
-    blocks = huffman_encode(ids.withColumn("plain", F.col("token_ids")), book)
-    own = F.slice("plain", F.col("block") * BLOCK + 1, F.greatest(F.col("n_ids"), F.lit(0)))
-    return blocks.withColumn("exact", block_ids(book, spark)("payload", "n_ids", "checkpoints") == F.coalesce(own, F.array().cast("array<int>"))).drop("plain")
+    blocks = huffman_encode(ids, book)
+    return blocks.withColumn("exact", checksums()(block_ids(book, spark)("payload", "n_ids", "checkpoints")) == F.col("checksum"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

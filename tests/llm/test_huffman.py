@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkseek.llm import huffman as H
 
@@ -63,7 +64,7 @@ def test_round_trip_and_independent_blocks(spark):
     df = spark.createDataFrame(rows(), "doc_id long, token_ids array<int>, block int").repartition(3)
     book = H.codebook(df)
     blocks = H.huffman_encode(df, book, block=256)
-    assert blocks.columns == ["doc_id", "block", "n_ids", "n_bits", "payload", "checkpoints"]
+    assert blocks.columns == ["doc_id", "block", "n_ids", "n_bits", "payload", "checkpoints", "checksum"]
     got = H.huffman_decode(blocks.distinct(), book)
     assert {r.doc_id: r.token_ids for r in got.collect()} == {d: ids or [] for d, ids, _ in rows()}
     some = blocks.where("block = 1").withColumn("ids", H.block_ids(book, spark)("payload", "n_ids", "checkpoints")).collect()
@@ -71,6 +72,7 @@ def test_round_trip_and_independent_blocks(spark):
     assert some and all(r.ids == plain[r.doc_id][256:512] for r in some)
     for r in blocks.collect():
         assert len(r.payload) == (r.n_bits + 7) // 8 and len(r.checkpoints) == -(-r.n_ids // H.CHECK)
+    assert blocks.where(H.checksums()(H.block_ids(book, spark)("payload", "n_ids", "checkpoints")) != F.col("checksum")).count() == 0
     naive = {d: "".join(format(int(book.codes[i]), f"0{book.lengths[i]}b") for i in (ids or [])[:256]) for d, ids, _ in rows()}
     for r in blocks.where("block = 0").collect():
         assert "".join(format(b, "08b") for b in r.payload)[: r.n_bits] == naive[r.doc_id]
