@@ -102,23 +102,24 @@ def _joined(column: pa.Array) -> pa.Array:
     return pa.array([None if any(c["bytes"] is None for c in p) else b"".join(c["bytes"] for c in p) for p in column.to_pylist()], pa.binary())
 
 
-def _cut_out(z: pa.Array, places: pa.Array) -> pa.Array:
-    """The chunks that have their home in each payload."""
+def _served(z: pa.Array, places: pa.Array) -> pa.Array:
+    """The chunks at these places of each payload."""
     import zstandard
 
     d = zstandard.ZstdDecompressor()
     out = []
-    for raw, own in zip(z.to_pylist(), places.to_pylist()):
-        raw = d.decompress(raw) if own else b""
-        out.append([{"ord": p["ord"], "digest": p["digest"], "shared": p["shared"], "bytes": raw[p["start"] : p["start"] + p["size"]]} for p in own or ()])
-    return pa.array(out, pa.list_(pa.struct([("ord", pa.int32()), ("digest", pa.binary()), ("shared", pa.bool_()), ("bytes", pa.binary())])))
+    for packed, own in zip(z.to_pylist(), places.to_pylist()):
+        raw = d.decompress(packed) if own else b""
+        out.append([{"digest": p["digest"], "bytes": raw[p["start"] : p["start"] + p["size"]]} for p in own or ()])
+    return pa.array(out, pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())])))
 
 
-def _rebuilt(order: pa.Array, own: pa.Array, others: pa.Array) -> pa.Array:
-    """Digest of the payload that the ordered chunks make; null where one is missing or isn't what its digest says."""
+def _rebuilt(z: pa.Array, places: pa.Array, order: pa.Array, others: pa.Array) -> pa.Array:
+    """Digest of the payload that the ordered chunks make, those whose home it is and those brought from others; null where
+    one is missing or isn't what its digest says."""
     out = []
-    for want, mine, theirs in zip(order.to_pylist(), own.to_pylist(), others.to_pylist()):
-        have = {c["digest"]: c["bytes"] for c in (*(mine or ()), *(theirs or ()))}
+    for want, mine, theirs in zip(order.to_pylist(), _served(z, places).to_pylist(), others.to_pylist()):
+        have = {c["digest"]: c["bytes"] for c in (*mine, *(theirs or ()))}
         whole = b"".join(have.get(w, b"") for w in want)
         out.append(digest(whole) if all(w in have for w in want) and all(digest(b) == w for w, b in have.items()) else None)
     return pa.array(out, pa.binary())
@@ -149,19 +150,17 @@ def media(df: DataFrame, payload: str, least: int = MIN, average: int = AVERAGE,
     place = F.struct("ord", "start", "size", "digest", "shared")
     plans = lists.groupBy("media").agg(F.sort_array(F.collect_list(F.struct("ord", "digest"))).alias("o"), F.collect_list(F.when(F.col("stored"), place)).alias("own"), F.sum(F.col("stored").cast("int")).alias("n_new"), F.sum(F.when(F.col("stored"), F.col("size")).otherwise(0)).alias("new_bytes"))
     plans = plans.withColumn("chunks", F.col("o.digest")).drop("o")
-    # one exchange of payloads, which both branches below reuse; of payloads that repeat one stays
+    # one exchange of payloads, which both branches reuse; Python functions come last in each, as nothing is known of partitions behind them
     homes = full.withColumn("z", F.arrow_udf(_deflated, "binary")("payload")).select("media", "z").repartition(F.col("media")).dropDuplicates(["media"]).join(plans, "media")
-    homes = homes.withColumn("held", F.arrow_udf(_cut_out, "array<struct<ord:int,digest:binary,shared:boolean,bytes:binary>>")("z", "own"))
-    served = homes.select(F.explode(F.filter("held", lambda c: c["shared"])).alias("c")).select("c.digest", "c.bytes")
+    served = homes.select(F.explode(F.arrow_udf(_served, "array<struct<digest:binary,bytes:binary>>")("z", F.filter("own", lambda c: c["shared"]))).alias("c")).select("c.digest", "c.bytes")
     asked = lists.where("home <> media").select("digest", "media").distinct()
     brought = asked.join(served, "digest").groupBy("media").agg(F.collect_list(F.struct("digest", "bytes")).alias("others"))
-    done = homes.join(brought, "media", "left").select("media", "chunks", "n_new", "new_bytes", F.arrow_udf(_rebuilt, "binary")("chunks", "held", "others").alias("again"))
-    out = rows.select(*others, "media", F.octet_length("__payload").alias("n_bytes")).join(done, "media", "left")
-    none = F.col("media").isNotNull() & (F.col("n_bytes") == 0)
-    chunks = F.when(none, F.array().cast("array<binary>")).otherwise(F.col("chunks"))
-    verified = F.when(none, F.lit(True)).when(F.col("media").isNotNull(), F.col("again").eqNullSafe(F.col("media")))
-    zero = lambda c: F.when(none, F.lit(0)).otherwise(F.col(c)).cast("bigint").alias(c)
-    return out.select(*others, "media", "n_bytes", chunks.alias("chunks"), zero("n_new"), zero("new_bytes"), verified.alias("verified"))
+    about = rows.select(*others, "media", F.octet_length("__payload").alias("n_bytes"))
+    again = F.arrow_udf(_rebuilt, "binary")("z", "own", "chunks", "others")
+    done = homes.join(brought, "media", "left").join(about.where("n_bytes > 0"), "media").select(*others, "media", "n_bytes", "chunks", "n_new", "new_bytes", again.eqNullSafe(F.col("media")).alias("verified"))
+    empty = F.col("media").isNotNull()
+    rest = about.where("media is null or n_bytes = 0").select(*others, "media", "n_bytes", F.when(empty, F.array().cast("array<binary>")).alias("chunks"), *(F.when(empty, F.lit(0)).cast("bigint").alias(c) for c in ("n_new", "new_bytes")), F.when(empty, F.lit(True)).alias("verified"))
+    return done.unionByName(rest)
 
 
 def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
