@@ -222,7 +222,7 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "pag
     cuts = runs.groupBy("target").applyInArrow(from_runs, "pid long, first_word long, end_word long")
     cuts = cuts.groupBy("pid").agg(F.collect_set(F.struct("first_word", "end_word")).alias("cuts"))
 
-    def keep(z: pa.Array, lists: pa.Array) -> pa.Array:
+    def keep(z: pa.Array, lists: pa.Array, _: pa.Array) -> pa.Array:
         texts, kept, removed = [], [], []
         for stream, own in zip(_plain(z), lists.to_pylist()):
             words = stream.decode("utf-8", "surrogatepass").split(" ") if stream else []
@@ -237,5 +237,8 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "pag
             removed.append(sum(w[0] != BREAK for w in words) - kept[-1])
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(kept, pa.int32()), pa.array(removed, pa.int32())], names=list(names))
 
-    done = held.join(cuts, "pid", "left").select(F.col("pid").alias("__pid"), F.arrow_udf(keep, "struct<text:string,n_words:int,n_removed:int>")("z", "cuts").alias("__t"))
-    return rows.drop("__html", "__host").join(done, "__pid", "left").select(*others, "__t.*")
+    # rows join before the function, behind which nothing is known of partitions; it takes the host for the exchange to be the same as above
+    about = rows.select(*others, F.col("__pid").alias("pid"))
+    done = held.join(cuts, "pid", "left").join(about, "pid").select(*others, F.arrow_udf(keep, "struct<text:string,n_words:int,n_removed:int>")("z", "cuts", "host").alias("__t")).select(*others, "__t.*")
+    none = about.where("pid is null").select(*others, F.lit(None).cast("string").alias("text"), *(F.lit(None).cast("int").alias(c) for c in names[1:]))
+    return done.unionByName(none)
