@@ -4,9 +4,11 @@ Each of M hash functions picks the ELL least of a text's k-mers of K words, each
 occurrences, and keeps them in text order (Marcais et al., 2019); texts that share a sketch share a bucket.  Pairs in a bucket
 are verified by banded alignment of their words: similar means 1 - edit distance / longer length >= SIMILARITY.
 
-Exact copies are one node from the start.  In each bucket all nodes are first held against its least node; where that
-leaves several components, the least nodes of each are held against each other, all pairs.  So a bucket of n copies costs n
-alignments, and no bucket is capped or skipped.  Groups are the connected components.
+Exact copies are one node from the start.  In each bucket all nodes are first held against its least node, so a bucket of n
+copies costs n alignments.  While a bucket has several components, more of its nodes, in an order of the bucket's own, are held
+against all nodes of other components: LEADERS of them, then GROWTH times as many each round, or all at once where few
+pairs are left.  So every pair that shares a bucket is verified or connected by others, and no bucket is capped or
+skipped.  Groups are the connected components.
 
 Defined results: of each group the row with the least (doc_id, text digest) stays (null ids count as largest), one row where rows repeat; null,
 empty and blank texts aren't compared and all stay, each in its own group; texts shorter than K words have one k-mer; texts of any length are compared whole; an empty table
@@ -27,6 +29,7 @@ from .shared import durable
 from .text import gram_hashes, mix, parts, utf8, word_hashes
 
 K, ELL, M, SIMILARITY = 3, 2, 32, 0.8
+LEADERS, GROWTH, AT_ONCE = 4, 8, 4
 _POSITION = np.uint64((1 << 24) - 1)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -150,14 +153,28 @@ def near_edges(df: DataFrame, text: str = "text", key: str = "doc_id", similarit
     first = buckets.where(F.col("digest") != F.col("leader")).where(fits("n", "ln"))
     first = first.select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
     edges = durable(_verified(first, own, similarity))
-    roots = components(edges)
-    placed = buckets.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    heads = placed.groupBy("sketch", "root").agg(F.min(F.struct("digest", "n")).alias("h"))
-    heads = heads.withColumn("most", F.max("root").over(w)).withColumn("least", F.min("root").over(w)).where("most <> least").select("sketch", "h.digest", "h.n")
-    x, y = heads.alias("x"), heads.alias("y")
-    rest = x.join(y, "sketch").where("x.digest < y.digest").where(fits("x.n", "y.n")).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
-    rest = durable(rest.join(first, ["a", "b"], "left_anti"))
-    return edges.unionByName(_verified(rest, own, similarity))
+    tried, roots, done = first, components(edges), 0
+    while True:
+        placed = buckets.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+        # buckets stay or go as wholes, so ranks are the same in all rounds
+        ends = {"size": F.count("*").over(w), "alike": F.count("*").over(W.partitionBy("sketch", "root")), "rank": F.row_number().over(w.orderBy(F.xxhash64("sketch", "digest"), "digest"))}
+        buckets = durable(placed.withColumns(ends).where("alike < size").select("sketch", "digest", "n", "root", "rank", "size", "alike"))
+        left = buckets.where(F.col("rank") > done)
+        size, rows, apart = buckets.agg(F.max("size"), F.count("*"), F.sum(F.col("size") - F.col("alike"))).first()
+        if not rows or size <= done:
+            return edges
+        upto = size if apart <= AT_ONCE * rows else max(LEADERS, GROWTH * done)
+        x, y = left.where(F.col("rank") <= upto).alias("x"), left.alias("y")
+        rest = x.join(y, "sketch").where("x.rank < y.rank and x.root <> y.root").where(fits("x.n", "y.n"))
+        rest = rest.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+        rest = durable(rest.join(tried, ["a", "b"], "left_anti"))
+        more = durable(_verified(rest, own, similarity))
+        edges, tried, done = edges.unionByName(more), tried.unionByName(rest), upto
+        if done >= size:
+            return edges
+        if not more.isEmpty():
+            roots = components(edges)
+        buckets = buckets.select("sketch", "digest", "n")
 
 
 def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:

@@ -126,3 +126,27 @@ def test_large_group_of_near_copies(spark):
     texts = [" ".join(edited(rng, base, vocabulary, 0.05)) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.group_id for r in N.near_duplicates(df).collect()} == {0}
+
+
+def test_star_family_against_brute_force(spark):
+    """Copies that are near to their base but not to each other."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(500)]
+    docs = []
+    for _ in range(2):
+        base = rng.choices(vocabulary, k=80)
+        docs.append(base)
+        for _ in range(120):
+            at = set(rng.sample(range(80), 11))
+            docs.append([rng.choice(vocabulary) if i in at else w for i, w in enumerate(base)])
+    number = {w: i for i, w in enumerate(vocabulary)}
+    rows = [np.array([number[w] for w in d], np.uint64) for d in docs]
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i)]
+    near = [p for p, ok in zip(pairs, within([(rows[i], rows[j]) for i, j in pairs], 0.8)) if ok]
+    assert len(near) < 0.2 * len(pairs)
+    parent = list(range(len(docs)))
+    for i, j in near:
+        a, b = parent[i], parent[j]
+        parent = [min(a, b) if p in (a, b) else p for p in parent]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(4)
+    assert [r.group_id for r in N.near_duplicates(df).orderBy("doc_id").collect()] == parent == [0] * 121 + [121] * 121
