@@ -16,7 +16,7 @@ from sparkseek.llm.packing import packing
 from sparkseek.llm.quality import quality, train
 from sparkseek.llm.shared import checkpoint_dir
 from sparkseek.llm.suffix_dedup import suffix_dedup
-from sparkseek.llm.toxicity import toxicity
+from sparkseek.llm.toxicity import learned, toxicity
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity(docs).where("not toxic").select(*docs.columns)
+    """Drops toxic texts; stems are learned from the labelled rows that are still here."""
+    lexicon = learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity(docs, lexicon=lexicon).where("not toxic").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

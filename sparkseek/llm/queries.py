@@ -13,9 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import toxicity
+    from .toxicity import learned, toxicity
 
-    return toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    documents = _table(spark, sf_dir, "documents")
+    lexicon = learned(documents, _table(spark, sf_dir, "labels"))
+    return toxicity(documents.select("doc_id", "text"), lexicon=lexicon).drop("text")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ substitutions ("1d10t", "tr@sh") to one ASCII letter each, and drops combining a
 stand for `l` or `i`: the automaton holds one class for all five, and a match must then agree in its own letters.  A match counts where it begins and ends at the edge of a word
 of the *original* text ("stupid!!!" has one, "scumble" none) and no exception phrase covers it ("trash can").
 
+A pattern that ends in `*` is a stem and may end within a word.  learned() adds stems that set toxic from clean labelled rows
+apart, language by language (log-odds of word beginnings), as the fixed list knows few languages.
+
     score = 100 * (sum of weights of the matches that count) / max(words, MIN_WORDS);   toxic = score >= THRESHOLD
 
 Defined results: null or empty text has 0 words, score 0 and isn't toxic; matches in a text of any length all count;
@@ -14,17 +17,23 @@ columns are kept, and columns of the operator's names are replaced.
 
 from __future__ import annotations
 
+import math
+import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .text import parts, utf8
 
 THRESHOLD, MIN_WORDS = 0.5, 25
+#: learned(): rows of each language and label, letters of stems, clean rows a language needs, times a row must have a stem to count, toxic rows a stem needs, their share, and log-odds; weight by log-odds.
+SAMPLE, STEM, LEAST_CLEAN, TIMES, LEAST_TOXIC, SHARE, ODDS, SCALE = 500, (4, 8), 20, 2, 5, 0.2, 3.0, 0.08
 
 LEXICON: dict[str, float] = {
     **dict.fromkeys("trash whore pathetic loser clown stupid dumb lame jerk creep coward liar freak ugly filthy fool".split(), 1.0),
@@ -114,15 +123,17 @@ def inflected(lexicon: dict[str, float]) -> dict[str, float]:
 
 @lru_cache(4)
 def automaton(lexicon: tuple, exceptions: tuple):
-    """Over folded patterns; the value of each is its (pattern with l and i told apart, weight)s, with weight 0 for an exception."""
+    """Over folded patterns; the value of each is its ((pattern with l and i told apart, whether a stem), weight)s, with weight 0 for an exception."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    best: dict[str, dict[bytes, float]] = {}
+    best: dict[str, dict[tuple[bytes, bool], float]] = {}
     for w, x in [*inflected(dict(lexicon)).items(), *((e, 0.0) for e in exceptions)]:
+        stem = w.endswith("*") and x > 0
+        w = w[:-1] if stem else w
         if f := fold_text(w):
             own = best.setdefault(f, {})
-            key = folded(w)[1].tobytes()
+            key = folded(w)[1].tobytes(), stem
             own[key] = max(x, own.get(key, 0.0)) if x else 0.0
     for f, own in best.items():
         a.add_word(f, tuple(own.items()))
@@ -138,13 +149,13 @@ def agrees(own: bytes, pattern: bytes) -> bool:
 def matches(text: np.ndarray, own: np.ndarray, solid: np.ndarray, a) -> tuple[np.ndarray, np.ndarray]:
     """Ends and weights of the matches that count, in folded bytes that may hold many rows set apart by gaps."""
     strict = own.tobytes()
-    found = [(end + 1, len(p), x) for end, each in a.iter(text.tobytes().decode("latin-1")) for p, x in each if agrees(strict[end + 1 - len(p) : end + 1], p)]
+    found = [(end + 1, len(p), x, stem) for end, each in a.iter(text.tobytes().decode("latin-1")) for (p, stem), x in each if agrees(strict[end + 1 - len(p) : end + 1], p)]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0)
-    ends, lengths, weights = (np.array(x) for x in zip(*found))
+    ends, lengths, weights, stems = (np.array(x) for x in zip(*found))
     starts = ends - lengths
     edge = np.concatenate([[False], solid, [False]])  # edge[i]: the byte before i is part of a word
-    ok = ~edge[starts] & ~edge[ends + 1]
+    ok = ~edge[starts] & (stems | ~edge[ends + 1])
     starts, ends, weights = starts[ok], ends[ok], weights[ok]
     cover = np.zeros(len(text) + 1, np.int32)
     free = weights == 0
@@ -167,6 +178,44 @@ def matches(text: np.ndarray, own: np.ndarray, solid: np.ndarray, a) -> tuple[np
     return ends, weights
 
 
+def stems(rows, lexicon: dict[str, float] | None = None) -> dict[str, float]:
+    """Stems, each with `*`, and weights, from (language, toxic, text); none that begins a word of the lexicon."""
+    known = [folded(w)[1].tobytes().decode("latin-1") for w in (LEXICON if lexicon is None else lexicon)]
+    begun = {w[:k] for w in known for k in range(STEM[0], STEM[1] + 1)}
+    n: Counter = Counter()
+    has: dict[tuple, Counter] = {}
+    for lang, toxic, text in rows:
+        key = lang, bool(toxic)
+        n[key] += 1
+        words = re.findall("[a-z]+", folded(text)[1].tobytes().decode("latin-1"))
+        often = Counter(w[:k] for w in words for k in range(STEM[0], min(len(w), STEM[1]) + 1))
+        has.setdefault(key, Counter()).update(w for w, c in often.items() if c >= TIMES)
+    out: dict[str, float] = {}
+    for (lang, toxic), counts in has.items():
+        bad, good, clean = n[lang, True], n[lang, False], has.get((lang, False), Counter())
+        if not toxic or good < LEAST_CLEAN:
+            continue
+        for s, t in counts.items():
+            if t >= max(LEAST_TOXIC, SHARE * bad) and s not in begun:
+                odds = math.log((t + 0.5) / (bad - t + 0.5)) - math.log((clean[s] + 0.5) / (good - clean[s] + 0.5))
+                if odds >= ODDS:
+                    out[s + "*"] = max(out.get(s + "*", 0.0), SCALE * odds)
+    return dict(sorted(out.items()))
+
+
+def learned(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", sample: int = SAMPLE) -> dict[str, float]:
+    """LEXICON with the stems of labelled rows: `sample` rows of each language and label at most (documented bound), those
+    of least hashed key; only their texts are read."""
+    where = F.col(lang) if lang in documents.columns else F.lit(None)
+    own = labels.where("toxic is not null").groupBy(key).agg(F.max("toxic").alias("__toxic"))
+    ids = documents.select(key, F.coalesce(where.cast("string"), F.lit("")).alias("__lang")).join(own, key).dropDuplicates([key])
+    rank = F.row_number().over(W.partitionBy("__lang", "__toxic").orderBy(F.xxhash64(key), key))
+    chosen = ids.withColumn("__rank", rank).where(F.col("__rank") <= sample).drop("__rank")
+    texts = documents.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text")).join(F.broadcast(chosen), key)
+    texts = texts.groupBy(key).agg(F.min(F.struct("__lang", "__toxic", "__text")).alias("r")).select("r.*")
+    return LEXICON | stems(texts.toLocalIterator())
+
+
 TYPE = "struct<words:int,hits:int,score:double>"
 
 

@@ -62,3 +62,19 @@ def test_planted(spark):
     got = T.toxicity(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumnRenamed("toxic", "label"), "doc_id")
     assert got.where("toxic and label = 0").count() <= 3
     assert got.where("toxic and label = 1").count() >= 25
+
+
+def test_stems():
+    a, _ = T.automaton((("boment*", 1.0), ("bomen", 2.0)), ())
+    assert [T.matches(*T.folded(s), a)[1].tolist() for s in ("bomen", "bomenta", "bómentaré boment!", "abomenta", "bomens", "bomer")] == [[2.0], [1.0], [1.0, 1.0], [], [2.0], []]
+
+
+def test_recall_by_language_on_rows_not_learned_from(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    lexicon = T.learned(documents, labels.where("doc_id % 2 = 0"))
+    got = T.toxicity(documents.where("doc_id % 2 = 1"), lexicon=lexicon).join(labels.withColumnRenamed("toxic", "label"), "doc_id")
+    rates = {r.lang: r for r in got.groupBy("lang").agg(*(T.F.expr(f"avg(case when label = {y} then int(toxic) end) r{y}") for y in (0, 1))).collect()}
+    assert set(rates) == {"en", "de", "fr", "es"}
+    for r in rates.values():
+        assert r.r1 >= 0.85 and r.r0 <= 0.035, r
