@@ -32,7 +32,7 @@ from .runs import front_code
 from .suffix_dedup import anchors, contexts, families, merged, stretches_of
 from .text import mix, parts, utf8, word_hashes
 
-WINDOW, GRAM, PAGES = 16, 8, 2
+WINDOW, GRAM, PAGES = 8, 4, 2
 RUN_ENTRIES = 100_000
 BREAK = "\x02"  # begins the token of a block tag
 _BLOCKS = "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split()

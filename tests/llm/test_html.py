@@ -76,3 +76,12 @@ def test_edges(spark):
     assert X.extract(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         X.extract(df, window=4, gram=5)
+
+
+def test_short_footer_with_production_parameters(spark):
+    article = lambda i: "".join(f"<p>{' '.join(f'a{i}x{j}x{k}' for k in range(30))}</p>" for j in range(3))
+    own = [(i, f"http://d.example.com/{i}", f"<body>{article(i)}<footer>(c) d.example.com . one two three four</footer></body>") for i in range(6)]
+    df = spark.createDataFrame(own, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_removed) for r in X.extract(df).collect()}
+    assert got == {i: (X.readable(X.tokens(article(i))), 7) for i in range(6)}
+    assert [got[i] for i in range(6)] == brute(own, X.WINDOW)
