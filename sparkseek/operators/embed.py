@@ -102,16 +102,17 @@ class WordPiece:
             at = end
         return out
 
-    def encode(self, words: list[str], max_tokens: int = 256) -> list[int]:
+    def encode(self, words: list[str], max_tokens: int | None = 256) -> list[int]:
+        """With max_tokens None, the whole text."""
         out: list[int] = []
         for w in words:
             out += self.pieces(w)
-            if len(out) >= max_tokens - 2:
+            if max_tokens is not None and len(out) >= max_tokens - 2:
                 break
-        return [self.cls, *out[: max_tokens - 2], self.sep]
+        return [self.cls, *(out if max_tokens is None else out[: max_tokens - 2]), self.sep]
 
 
-def wordpiece(text: Column, tokenizer: WordPiece, max_tokens: int = 256) -> Column:
+def wordpiece(text: Column, tokenizer: WordPiece, max_tokens: int | None = 256) -> Column:
     """input_ids, attention_mask, token_type_ids; words are split by built-in functions."""
 
     def run(words: pa.Array) -> pa.Array:

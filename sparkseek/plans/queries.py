@@ -406,8 +406,8 @@ def ann_graph(spark, sf):
 
 @query()
 def wordpiece(spark, sf):
-    """A vocabulary of characters and the topics' words."""
+    """Whole texts, by a vocabulary of characters and the topics' words."""
     words = sorted({w for ws in TOPICS.values() for w in ws})
     letters = "abcdefghijklmnopqrstuvwxyz0123456789"
     tokenizer = embed.WordPiece({t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *(f"##{c}" for c in letters), *(w for w in words if len(w) > 1)])})
-    return documents(spark, sf).select("key", embed.wordpiece(F.col("text"), tokenizer)["input_ids"].alias("input_ids"))
+    return documents(spark, sf).select("key", embed.wordpiece(F.col("text"), tokenizer, None)["input_ids"].alias("input_ids"))

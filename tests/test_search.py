@@ -196,3 +196,11 @@ def test_hybrid(spark):
     assert [r.key for r in fusion.hybrid_search(df, q, 4, where=F.col("key") == "far").collect()] == ["far"]
     blank = q.withColumn("text", F.lit("?"))
     assert hits(fusion.hybrid_search(df, blank, 4)) == hits(knn.nearest(df, q, 4))
+
+
+def test_wordpiece_query_has_whole_texts(spark):
+    from sparkseek.plans import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id as key", "text").join(queries.QUERIES["wordpiece"](spark, "/root/testdata/sf0.001"), "key").collect()
+    assert rows and all(len(r.input_ids) - 2 >= len(r.text.split()) for r in rows)
+    assert max(len(r.input_ids) for r in rows) > 256
