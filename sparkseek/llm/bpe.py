@@ -3,8 +3,8 @@
 Words are counted over all texts; those that make up at least FREQUENT of all word occurrences (so at most 1 / FREQUENT
 words, whatever the corpus) are merged once and compiled into a minimal acyclic automaton with shared suffixes.  Its arcs
 carry numbers; their sum along a word's path is the word's place in a table of ids.  Automaton, table and vocabulary are
-one file that Spark brings to the executors, where workers map it into memory and walk it for all distinct words of a
-batch at once.  Words it doesn't hold are merged exactly, side by side, very long ones by a heap in O(n log n).
+one file that Spark brings to the executors, where workers map it into memory and walk it for all words at once that they
+don't remember from before.  Words it doesn't hold are merged exactly, side by side, very long ones by a heap in O(n log n).
 
 The result is that of the plain encoder, whatever words are frequent.  The vocabulary is a file of "base64 rank" lines;
 its path is a parameter.  Defined results: null gives null, empty text no ids; texts of any length are encoded whole;
@@ -24,12 +24,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_file, written
-from .text import parts, ragged, span_hashes, utf8
+from .shared import shared_file, small_batches, written
+from .text import parts, ragged, release, span_hashes, utf8
 
 VOCABULARY, FREQUENT = "/opt/tokenizers/byte_bpe_50k.tiktoken", 5e-6
 LONG, DECODED = 64, 1 << 18  # bytes of a word that is merged by itself, ids that are decoded at once
+COUNTED, REMEMBERED = 1 << 17, 1 << 18  # words that a task counts before it sends them, that a worker remembers at most
 NEVER = np.int64(1 << 60)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(1)
@@ -167,7 +169,37 @@ def compiled(lexicon: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.array(keys, np.int64)[order], np.array(targets, np.int32)[order], np.array(numbers, np.int32)[order], finals
 
 
-_KINDS = (np.int64, np.int32, np.int32, np.uint8, np.int64, np.int32, np.int64, np.uint8, np.int64, np.int64)
+def slots(keys: np.ndarray) -> np.ndarray:
+    """An open-addressed table of distinct keys: the place of a key, or -1, in each slot."""
+    out = np.full(1 << max(3, (3 * len(keys)).bit_length()), -1, np.int32)
+    at, left = _slot(keys, len(out)), np.arange(len(keys))
+    while len(left):
+        free = left[out[at[left]] < 0]
+        out[at[free][::-1]] = free[::-1]  # of those that want one slot, the first gets it
+        left = left[out[at[left]] != left]
+        at[left] = (at[left] + 1) & (len(out) - 1)
+    return out
+
+
+def _slot(keys: np.ndarray, size: int) -> np.ndarray:
+    return (keys.astype(np.uint64) * _SPREAD >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def lookup(table: np.ndarray, keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place in keys of each wanted key, -1 where it isn't there."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = _slot(wanted, len(table))
+    out = table[at].astype(np.int64)
+    left = np.flatnonzero((out >= 0) & (keys[out] != wanted))
+    while len(left):
+        at[left] = (at[left] + 1) & (len(table) - 1)
+        out[left] = table[at[left]]
+        left = left[(out[left] >= 0) & (keys[out[left]] != wanted[left])]
+    return out
+
+
+_KINDS = (np.int64, np.int32, np.int32, np.uint8, np.int64, np.int32, np.int64, np.uint8, np.int64, np.int64, np.int32, np.int32)
 
 
 def pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,12 +210,13 @@ def pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(vocabulary: list[bytes], lexicon: list[bytes]) -> bytes:
-    """The file: sizes, then arc keys, targets, numbers, finals, offsets and ids of the words, offsets and bytes of the tokens, and
-    pairs. The tokens are words too."""
+    """The file: sizes, then arc keys, targets, numbers, finals, offsets and ids of the words, offsets and bytes of the tokens,
+    pairs, and tables to find arcs and pairs. The tokens are words too."""
     ranks = {t: i for i, t in enumerate(vocabulary) if t}
     lexicon = sorted({*lexicon, *ranks})
     ids = [merged(w, ranks) for w in lexicon]
-    sections = [*compiled(lexicon), np.cumsum([0, *map(len, ids)]), np.array([i for x in ids for i in x]), np.cumsum([0, *map(len, vocabulary)]), np.frombuffer(b"".join(vocabulary), np.uint8), *pairs(ranks)]
+    arcs, two = compiled(lexicon), pairs(ranks)
+    sections = [*arcs, np.cumsum([0, *map(len, ids)]), np.array([i for x in ids for i in x]), np.cumsum([0, *map(len, vocabulary)]), np.frombuffer(b"".join(vocabulary), np.uint8), *two, slots(arcs[0]), slots(two[0])]
     head, body = [], []
     for x, kind in zip(sections, _KINDS):
         raw = np.asarray(x, kind).tobytes()
@@ -192,38 +225,68 @@ def packed(vocabulary: list[bytes], lexicon: list[bytes]) -> bytes:
     return np.array(head, np.int64).tobytes() + b"".join(body)
 
 
+class Remembered:
+    """The ids of words met before, by the words' hashes; one that is full begins anew."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.ids = 0, np.zeros(1 << 12, np.int32)
+        self.used = 0
+        self.keys, self.table = np.zeros(self.most, np.uint64), np.full(4 * self.most, -1, np.int32)
+        self.begin, self.size = np.zeros(self.most, np.int64), np.zeros(self.most, np.int32)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, off: np.ndarray) -> None:
+        """New distinct keys; those beyond the bound aren't kept."""
+        if self.n + len(keys) > self.most:
+            self.clear()
+        keys = keys[: self.most]
+        new = np.arange(self.n, self.n + len(keys))
+        self.keys[new], self.size[new], self.begin[new] = keys, np.diff(off)[: len(keys)], off[: len(keys)] + self.used
+        end = self.used + int(off[len(keys)])
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * end - self.used, np.int32)])
+        self.ids[self.used : end] = ids[: off[len(keys)]]
+        at, left = _slot(keys, len(self.table)), np.arange(len(keys))
+        while len(left):
+            free = left[self.table[at[left]] < 0]
+            self.table[at[free][::-1]] = new[free[::-1]]
+            left = left[self.table[at[left]] != new[left]]
+            at[left] = (at[left] + 1) & (len(self.table) - 1)
+        self.n, self.used = self.n + len(keys), end
+
+
 class Encoder:
     """A mapped file."""
 
     def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
         sizes = raw[: 8 * len(_KINDS)].view(np.int64)
         at, got = 8 * len(_KINDS), []
         for n, kind in zip(sizes.tolist(), _KINDS):
             got.append(raw[at : at + n].view(kind))
             at += n + -n % 8
-        self.keys, self.targets, self.numbers, self.finals, self.offsets, self.ids, self.token_offsets, self.tokens, self.pair_keys, self.pair_ranks = got
+        self.keys, self.targets, self.numbers, self.finals, self.offsets, self.ids, self.token_offsets, self.tokens, self.pair_keys, self.pair_ranks, self.arc_slots, self.pair_slots = got
         raw, at = self.tokens.tobytes(), self.token_offsets.tolist()
         self.ranks = {raw[at[i] : at[i + 1]]: i for i in range(len(at) - 1) if at[i + 1] > at[i]}
         self.single = np.array([self.ranks.get(bytes([b]), 0) for b in range(256)], np.int64)
+        self.remembered = Remembered()
 
     def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place of each word in the table, -1 for those that the automaton doesn't hold."""
         state, place = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         left, step = np.arange(len(starts)), 0
-        last = len(self.keys) - 1
         out = np.full(len(starts), -1, np.int64)
-        if last < 0:
-            return out
         while len(left):
             done = starts[left] + step == ends[left]
             over = left[done]
             out[over] = np.where(self.finals[state[over]] == 1, place[over], -1)
             left = left[~done]
             key = state[left] << 8 | data[starts[left] + step]
-            arc = np.minimum(np.searchsorted(self.keys, key), last)
-            same = self.keys[arc] == key
-            left, arc = left[same], arc[same]
+            arc = lookup(self.arc_slots, self.keys, key)
+            left, arc = left[arc >= 0], arc[arc >= 0]
             state[left] = self.targets[arc]
             place[left] += self.numbers[arc]
             step += 1
@@ -231,11 +294,8 @@ class Encoder:
 
     def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id that each pair merges to, NEVER where it doesn't."""
-        if not len(self.pair_keys):
-            return np.full(len(left), NEVER)
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NEVER)
+        at = lookup(self.pair_slots, self.pair_keys, left << 32 | right)
+        return np.where(at >= 0, self.pair_ranks[at], NEVER) if len(self.pair_keys) else np.full(len(left), NEVER)
 
     def merge_all(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """merged() of many words side by side: in each round, every word's leftmost pair of least rank. Longer words go one by one."""
@@ -281,26 +341,58 @@ class Encoder:
         flat, at = ragged(ids, np.concatenate([[0], np.cumsum(sizes)]), np.argsort(words_))
         return flat.astype(np.int32), at
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the rows' offsets into them."""
+    def known(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, and the words' offsets into them: by the automaton, or merged."""
+        place = self.places(data, starts, ends)
+        new = np.flatnonzero(place < 0)
+        extra, at = self.merge_all(data, starts[new], ends[new])
+        place[new] = np.arange(len(new))
+        held, size = place.copy(), np.empty(len(place), np.int64)
+        mine = np.ones(len(place), bool)
+        mine[new] = False
+        size[mine] = self.offsets[place[mine] + 1] - self.offsets[place[mine]]
+        size[new] = np.diff(at)
+        held[mine] = self.offsets[place[mine]]
+        held[new] = at[:-1] + len(self.ids)
+        off = np.concatenate([[0], np.cumsum(size)])
+        which = np.arange(off[-1]) - np.repeat(off[:-1] - held, size)
+        out = np.empty(len(which), np.int32)
+        inside = which < len(self.ids)
+        out[inside], out[~inside] = self.ids[which[inside]], extra[which[~inside] - len(self.ids)]
+        return out, off
+
+    def encode_part(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these rows, and the rows' offsets into them."""
+        starts, rows = words(data, off)
+        ends = np.append(starts[1:], len(data))
+        h, own = span_hashes(data, starts, ends), self.remembered
+        at = lookup(own.table, own.keys, h)
+        begin, size = own.begin[at], own.size[at]
+        table = own.ids
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            keys, which, back = np.unique(h[new], return_index=True, return_inverse=True)
+            ids, o = self.known(data, starts[new[which]], ends[new[which]])
+            begin[new], size[new] = o[back] + own.used, np.diff(o)[back]
+            table = np.concatenate([own.ids[: own.used], ids])
+            own.add(keys, ids, o)
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        return table[np.arange(total[-1]) - np.repeat(total[:-1] - begin, size)], total[rows]
+
+    def encode(self, column: pa.Array, verify: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the rows' offsets into them, and with `verify` whether each row's ids decode to it."""
         data, off = utf8(column)
-        flat, counts = [], []
-        for _, _, d, o in parts(data, off):
-            starts, rows = words(d, o)
-            ends = np.append(starts[1:], len(d))
-            _, which, back = np.unique(span_hashes(d, starts, ends), return_index=True, return_inverse=True)
-            s, e = starts[which], ends[which]
-            place = self.places(d, s, e)
-            new = np.flatnonzero(place < 0)
-            extra, at = self.merge_all(d, s[new], e[new])
-            place[new] = len(self.offsets) - 1 + np.arange(len(new))
-            table = np.concatenate([self.ids, extra])
-            offsets = np.concatenate([self.offsets, self.offsets[-1] + at[1:]])
-            ids, at = ragged(table, offsets, place[back])
+        flat, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        exact = np.ones(len(off) - 1, bool)
+        for i, j, d, o in parts(data, off):
+            ids, at = self.encode_part(d, o)
             flat.append(ids)
-            counts.append(np.diff(at[rows]))
-        n = np.concatenate([[0], *counts]) if counts else np.zeros(1, np.int64)
-        return np.concatenate(flat) if flat else np.zeros(0, np.int32), np.cumsum(n)
+            counts.append(np.diff(at))
+            if verify:
+                back, cuts = ragged(self.tokens, self.token_offsets, ids)
+                if not (np.array_equal(cuts[at], o) and np.array_equal(back, d)):
+                    exact[i:j] = [np.array_equal(back[cuts[at[k]] : cuts[at[k + 1]]], d[o[k] : o[k + 1]]) for k in range(j - i)]
+        return np.concatenate(flat), np.cumsum(np.concatenate(counts)), exact
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.token_offsets) - 1):
@@ -319,19 +411,38 @@ def mapped(name: str) -> Encoder:
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all texts."""
+    """(word, n) over all texts. A task adds up what it counts, COUNTED words at a time."""
 
     def count(batches):
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # hashes, counts, words
+        size = 0
+
+        def together():
+            h, n, w = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), pa.concat_arrays([x[2] for x in held])
+            h, which, back = np.unique(h, return_index=True, return_inverse=True)
+            return h, np.bincount(back, n).astype(np.int64), w.take(pa.array(which))
+
         for b in batches:
             data, off = utf8(b.column(0))
-            for _, _, d, o in parts(data, off, 1 << 22):
+            for _, _, d, o in parts(data, off):
                 starts, _ = words(d, o)
                 ends = np.append(starts[1:], len(d))
-                _, which, n = np.unique(span_hashes(d, starts, ends), return_index=True, return_counts=True)
-                raw = d.tobytes()
-                own = [raw[a:z] for a, z in zip(starts[which].tolist(), ends[which].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(n)], names=["word", "n"])
-
+                h, which, n = np.unique(span_hashes(d, starts, ends), return_index=True, return_counts=True)
+                flat, at = ragged(d, np.append(starts, len(d)), which)
+                held.append((h, n, pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat)])))
+                size += len(h)
+                if size >= COUNTED:
+                    held = [together()]
+                    size = len(held[0][0])
+                    if size >= COUNTED // 2:
+                        yield pa.RecordBatch.from_arrays([held[0][2], pa.array(held[0][1])], names=["word", "n"])
+                        held, size = [], 0
+        if held:
+            _, n, w = together()
+            yield pa.RecordBatch.from_arrays([w, pa.array(n)], names=["word", "n"])
+        release()
+
+    small_batches(df.sparkSession)
     rows = df.select(F.col(text).cast("string").alias("text")).where("text is not null")
     return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -348,18 +459,67 @@ def prepare(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, fre
     return shared_file(df.sparkSession, packed(read_vocabulary(vocabulary), lexicon(df, text, frequent)), "lexicon")
 
 
+def ids_width(vocabulary: str = VOCABULARY) -> int:
+    """Bytes of an id in packed form."""
+    return 2 if len(read_vocabulary(vocabulary)) <= 1 << 16 else 4
+
+
+def _lists(ids: np.ndarray, off: np.ndarray, column: pa.Array) -> pa.Array:
+    """Lists of ids, null where the column is."""
+    missing = np.append(column.is_null().to_numpy(zero_copy_only=False), False) if column.null_count else None
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32), mask=missing), pa.array(ids))
+
+
 def encoder(name: str):
     """An Arrow UDF from text to ids."""
 
     def encode(column: pa.Array) -> pa.Array:
-        ids, off = mapped(name).encode(column)
-        missing = pa.array(np.append(column.is_null().to_numpy(zero_copy_only=False), False))
-        offsets = pa.array(off.astype(np.int32), mask=missing.to_numpy(zero_copy_only=False)) if column.null_count else pa.array(off.astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(ids))
+        ids, off, _ = mapped(name).encode(column)
+        out = _lists(ids, off, column)
+        release()
+        return out
 
     return F.arrow_udf(encode, "array<int>")
 
 
+def verified_encoder(name: str):
+    """An Arrow UDF from text to (ids, whether they decode to the text); in one pass over the text."""
+
+    def encode(column: pa.Array) -> pa.Array:
+        ids, off, exact = mapped(name).encode(column, True)
+        out = pa.StructArray.from_arrays([_lists(ids, off, column), pa.array(exact)], names=["ids", "exact"])
+        release()
+        return out
+
+    return F.arrow_udf(encode, "struct<ids:array<int>,exact:boolean>")
+
+
+def packed_encoder(name: str, width: int):
+    """An Arrow UDF from text to its ids as little-endian numbers of `width` bytes, a compact column to write; null for null."""
+
+    def encode(column: pa.Array) -> pa.Array:
+        ids, off, _ = mapped(name).encode(column)
+        raw = pa.py_buffer(ids.astype(f"<u{width}"))
+        mask = pa.array(~column.is_null().to_numpy(zero_copy_only=False)).buffers()[1] if column.null_count else None
+        out = pa.Array.from_buffers(pa.binary(), len(column), [mask, pa.py_buffer((off * width).astype(np.int32)), raw], column.null_count)
+        release()
+        return out
+
+    return F.arrow_udf(encode, "binary")
+
+
+def counter(name: str):
+    """An Arrow UDF from text to its number of ids; null for null."""
+
+    def count(column: pa.Array) -> pa.Array:
+        _, off, _ = mapped(name).encode(column)
+        out = pa.array(np.diff(off), mask=column.is_null().to_numpy(zero_copy_only=False))
+        release()
+        return out
+
+    return F.arrow_udf(count, "bigint")
+
+
 def decoder(name: str):
     """An Arrow UDF from ids to the bytes of the text."""
 
@@ -375,6 +535,7 @@ def decoder(name: str):
 def bpe_encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, frequent: float = FREQUENT, name: str | None = None) -> DataFrame:
     """df with token_ids; one narrow stage after the count."""
     name = name or prepare(df, text, vocabulary, frequent)
+    small_batches(df.sparkSession)
     return df.withColumn("token_ids", encoder(name)(F.col(text).cast("string")))
 
 

@@ -3,10 +3,11 @@
 Package-merge gives the best code lengths of at most LIMIT bits; canonical codes need no more than the lengths to be
 shared (one byte an id of the vocabulary).  Each text's ids are cut into blocks of BLOCK ids, which are decoded independently: a
 block has its bits and, for every CHECK-th id, the bit where its code begins.  Decoding goes through a table of 2**LIMIT
-entries, at all checkpoints of a batch side by side.
+entries, at all checkpoints of a batch side by side.  Ids come as arrays, or packed: binary, little-endian numbers of
+`width` bytes each.  A corpus of more than 2**LIMIT distinct ids gets the least limit that holds them.
 
 Defined results: null and empty lists of ids give one block without ids, and decode to an empty list; lists of any
-length are coded whole; repeated rows each get their blocks; an id that was not counted, or a negative one, raises; with one distinct id its code has
+length are coded whole; repeated rows each get their blocks, and as many rows back from them; an id that was not counted, or a negative one, raises; with one distinct id its code has
 one bit; an empty table gives an empty result; other columns are kept and columns of the operator's names are replaced.
 """
 
@@ -20,10 +21,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import hidden, small_batches
+from .text import release
+
 LIMIT, BLOCK, CHECK = 18, 4096, 64
-AT_ONCE = 1 << 18  # ids that a task codes at once, to bound its memory
+AT_ONCE = 1 << 17  # ids that a task codes at once, to bound its memory
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -131,29 +136,47 @@ class Book:
         return out
 
 
-def id_counts(df: DataFrame, ids: str = "token_ids") -> DataFrame:
+def flat_ids(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of arrays or packed ids, and the rows' offsets into them; nulls have none."""
+    if pa.types.is_binary(column.type):
+        column = column.fill_null(b"") if column.null_count else column
+        off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+        return raw.view(f"<u{width}"), (off - off[0]) // width
+    column = column.fill_null([]) if column.null_count else column
+    n = column.value_lengths().to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+
+
+def _column(df: DataFrame, ids: str):
+    return F.col(ids) if dict(df.dtypes)[ids] == "binary" else F.col(ids).cast("array<int>")
+
+
+def id_counts(df: DataFrame, ids: str = "token_ids", width: int = 4) -> DataFrame:
     """(id, n) over all rows."""
 
     def count(batches):
         total = np.zeros(1, np.int64)
         for b in batches:
-            flat = b.column(0).flatten().to_numpy(zero_copy_only=False)
+            flat, _ = flat_ids(b.column(0), width)
             own = np.bincount(flat, minlength=len(total))
             own[: len(total)] += total
             total = own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    return df.select(F.col(ids).cast("array<int>")).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    small_batches(df.sparkSession)
+    return df.select(_column(df, ids)).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def codebook(df: DataFrame, ids: str = "token_ids", limit: int = LIMIT) -> Book:
-    """Only one count per id of the vocabulary reaches the driver; more than 2**limit ids raise."""
-    got = id_counts(df, ids).limit((1 << limit) + 1).toPandas()
-    if len(got) > 1 << limit:
-        raise ValueError("too many ids for this limit")
+def codebook(df: DataFrame, ids: str = "token_ids", limit: int = LIMIT, width: int = 4) -> Book:
+    """One count per id of the vocabulary reaches the driver."""
+    got = id_counts(df, ids, width).toPandas()
     counts = np.zeros(int(got["id"].max()) + 1 if len(got) else 0, np.int64)
     counts[got["id"].to_numpy()] = got["n"].to_numpy()
+    limit = max(limit, (len(got) - 1).bit_length())
+    if limit > 24:
+        raise ValueError("a vocabulary beyond 2**24 ids has no decoding table here")
     return Book(code_lengths(counts, limit), limit)
 
 
@@ -179,18 +202,19 @@ def checksums():
     return F.arrow_udf(run, "bigint")
 
 
+NAMES = ["block", "n_ids", "n_bits", "payload", "checkpoints", "checksum"]
 BLOCKS = "array<struct<block:int,n_ids:int,n_bits:bigint,payload:binary,checkpoints:array<int>,checksum:bigint>>"
 
 
-def _coder(shared, block: int, step: int):
+def _coder(shared, block: int, step: int, width: int, verify: bool):
     def code(column: pa.Array) -> pa.Array:
-        n = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.concat_arrays([some(column[a:b]) for a, b in _portions(n)])
+        ids, off = flat_ids(column, width)
+        out = pa.concat_arrays([some(ids[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in _portions(np.diff(off))])
+        release()
+        return out
 
-    def some(column: pa.Array) -> pa.Array:
-        filled = column.fill_null([]) if column.null_count else column
-        n = filled.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = filled.flatten().to_numpy(zero_copy_only=False)
+    def some(ids: np.ndarray, rows: np.ndarray) -> pa.Array:
+        n = np.diff(rows)
         per = np.maximum(1, -(-n // block))
         row = np.repeat(np.arange(len(n)), per)
         rank = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
@@ -206,19 +230,27 @@ def _coder(shared, block: int, step: int):
         inner = np.arange(int(marks.sum())) - np.repeat(np.cumsum(marks) - marks, marks)
         checks = bit[np.repeat(off[:-1], marks) + inner * step] if len(inner) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(marks)]).astype(np.int32)), pa.array(checks.astype(np.int32)))
-        own = pa.StructArray.from_arrays([pa.array(rank.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(ends), pa.array(payload, pa.binary()), lists, pa.array(_sums(ids, off), pa.int64())], names=["block", "n_ids", "n_bits", "payload", "checkpoints", "checksum"])
+        sums = _sums(ids, off)
+        columns = [pa.array(rank.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(ends), pa.array(payload, pa.binary()), lists, pa.array(sums, pa.int64())]
+        if verify:  # from the blocks alone, as a reader would
+            back = shared.value.decode(np.frombuffer(b"".join(payload), np.uint8), np.cumsum([0, *map(len, payload)])[:-1].astype(np.int64), size, checks, marks, step)
+            columns.append(pa.array(np.array(_sums(back, off)) == np.array(sums)))
+        own = pa.StructArray.from_arrays(columns, names=[*NAMES, "exact"][: len(columns)])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), own)
 
-    return F.arrow_udf(code, BLOCKS)
+    return F.arrow_udf(code, BLOCKS.replace(">>", ",exact:boolean>>") if verify else BLOCKS)
 
 
-def huffman_encode(df: DataFrame, book: Book, ids: str = "token_ids", block: int = BLOCK, step: int = CHECK) -> DataFrame:
-    """A row per block: df's other columns, block, n_ids, n_bits, payload, checkpoints, checksum (CRC-32 of its ids); no shuffle."""
+def huffman_encode(df: DataFrame, book: Book, ids: str = "token_ids", block: int = BLOCK, step: int = CHECK, width: int = 4, verify: bool = False) -> DataFrame:
+    """A row per block: df's other columns, block, n_ids, n_bits, payload, checkpoints, checksum (CRC-32 of its ids), and with
+    `verify` exact, whether the block decodes to its ids; no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(book)  # its size is bounded by the vocabulary
-    names = ["block", "n_ids", "n_bits", "payload", "checkpoints", "checksum"]
+    small_batches(df.sparkSession)
+    names = [*NAMES, "exact"] if verify else NAMES
     others = [c for c in df.columns if c not in (*names, ids)]
-    rows = df.select(*others, F.explode(_coder(shared, block, step)(F.col(ids).cast("array<int>"))).alias("__b"))
-    return rows.select(*others, "__b.*")
+    inner = hidden(df, "block")
+    rows = df.select(*others, F.explode(_coder(shared, block, step, width, verify)(_column(df, ids))).alias(inner))
+    return rows.select(*others, *(F.col(inner)[n].alias(n) for n in names))
 
 
 def block_ids(book: Book, spark, check: int = CHECK):
@@ -241,7 +273,10 @@ def block_ids(book: Book, spark, check: int = CHECK):
 
 
 def huffman_decode(blocks: DataFrame, book: Book, key: str = "doc_id", ids: str = "token_ids", step: int = CHECK) -> DataFrame:
-    """(key, ids) from the blocks of each key, of which one row of each number is expected."""
-    own = blocks.withColumn("__ids", block_ids(book, blocks.sparkSession, step)("payload", "n_ids", "checkpoints"))
-    lists = own.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("block", "__ids"))).alias("__b"))
-    return lists.select(key, F.flatten(F.transform("__b", lambda b: b["__ids"])).alias(ids))
+    """(key, ids) from the blocks of each key. Equal blocks are copies of repeated rows, and each copy gives a row; of rows that
+    share a key but not their ids, nothing tells the blocks apart: they need another key."""
+    small_batches(blocks.sparkSession)
+    own = blocks.select(F.col(key).alias("key"), "block", block_ids(book, blocks.sparkSession, step)("payload", "n_ids", "checkpoints").alias("ids"))
+    own = own.withColumn("copy", F.row_number().over(W.partitionBy("key", "block").orderBy("ids")))
+    lists = own.groupBy("key", "copy").agg(F.sort_array(F.collect_list(F.struct("block", "ids"))).alias("b"))
+    return lists.select(F.col("key").alias(key), F.flatten(F.transform("b", lambda b: b["ids"])).alias(ids))

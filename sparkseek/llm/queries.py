@@ -49,12 +49,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it."""
-    from .bpe import bpe_encode, decoder, prepare
+    from .bpe import prepare, verified_encoder
 
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    name = prepare(documents)
-    ids = bpe_encode(documents, name=name)
-    return ids.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), F.col("text").eqNullSafe(decoder(name)("token_ids").cast("string")).alias("exact"))
+    own = documents.select("doc_id", verified_encoder(prepare(documents))("text").alias("r"))
+    return own.select("doc_id", F.col("r.ids").alias("token_ids"), F.size("r.ids").alias("n_tokens"), "r.exact")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,14 +64,13 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every text's ids, and whether they decode to them."""
-    from .bpe import bpe_encode
-    from .huffman import block_ids, checksums, codebook, huffman_encode
+    from .bpe import ids_width, packed_encoder, prepare
+    from .huffman import codebook, huffman_encode
     from .shared import written
 
-    ids = written(bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "token_ids"), "ids")
-    book = codebook(ids)
-    blocks = huffman_encode(ids, book)
-    return blocks.withColumn("exact", checksums()(block_ids(book, spark)("payload", "n_ids", "checkpoints")) == F.col("checksum"))
+    documents, width = _table(spark, sf_dir, "documents").select("doc_id", "text"), ids_width()
+    ids = written(documents.select("doc_id", packed_encoder(prepare(documents), width)("text").alias("token_ids")), "ids")
+    return huffman_encode(ids, codebook(ids, width=width), width=width, verify=True)
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

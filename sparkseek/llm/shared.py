@@ -18,6 +18,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Bounds the rows of Arrow batches of this session, as texts are wide: a worker and its executor hold a few batches each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
+def hidden(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while (out := f"{name}_{uuid.uuid4().hex[:12]}") in taken:
+        pass
+    return out
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)

@@ -6,6 +6,8 @@ word's bytes alone, so they agree between tasks, executors and runs.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ import pyarrow as pa
 
 R = 0x9E3779B97F4A7C15 | 1
 R_INV = pow(R, -1, 1 << 64)
-CHUNK = 1 << 20
+CHUNK = 1 << 18  # bytes that are worked on at once
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -22,14 +24,43 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R^0..R^(n-1) and their inverses modulo 2^64."""
-    if len(_powers[0]) < n:
-        n2 = max(n, 1 << 16)
-        for k, r in ((0, R), (1, R_INV)):
-            a = np.full(n2, r, np.uint64)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers[0][:n], _powers[1][:n]
+    """R^0..R^(n-1) and their inverses modulo 2^64; those beyond what parts() usually gives aren't kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    out = []
+    for r in (R, R_INV):
+        a = np.full(max(n, 1 << 16), r, np.uint64)
+        a[0] = 1
+        out.append(np.multiply.accumulate(a))
+    if len(out[0]) <= 2 * CHUNK:
+        _powers[:] = out
+    return out[0][:n], out[1][:n]
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives memory that is free back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def lean(f):
+    """f for an Arrow UDF, with its free memory given back after each batch."""
+
+    @functools.wraps(f)
+    def run(*columns):
+        try:
+            return f(*columns)
+        finally:
+            release()
+
+    return run
 
 
 def mix(h: np.ndarray) -> np.ndarray:

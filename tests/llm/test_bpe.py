@@ -71,9 +71,31 @@ def test_same_ids_as_the_plain_encoder(spark, plain):
         for r in got.collect():
             assert r.decoded == r.text
             assert r.token_ids == (None if r.text is None else plain.encode_ordinary(r.text))
+        packed = df.select("text", B.packed_encoder(name, 2)("text").alias("p"), B.verified_encoder(name)("text").alias("v"), B.counter(name)("text").alias("n"))
+        for r in packed.collect():
+            ids = None if r.text is None else plain.encode_ordinary(r.text)
+            assert (None if r.p is None else np.frombuffer(r.p, "<u2").tolist()) == ids == r.v.ids and r.n == (None if ids is None else len(ids)) and r.v.exact
     assert B.bpe_encode(df.limit(0)).count() == 0
 
 
+def test_remembered_words_and_tables():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000))
+    table = B.slots(keys)
+    assert B.lookup(table, keys, keys).tolist() == list(range(len(keys))) and (B.lookup(table, keys, keys + 1) >= 0).sum() == np.isin(keys + 1, keys).sum()
+    own = B.Remembered(100)
+    for n in (60, 60, 250):
+        h = rng.integers(1, 1 << 60, n).astype(np.uint64)
+        size = rng.integers(0, 5, n)
+        off = np.concatenate([[0], np.cumsum(size)])
+        ids = rng.integers(0, 9, off[-1]).astype(np.int32)
+        own.add(h, ids, off)
+        at = B.lookup(own.table, own.keys, h)
+        assert own.n <= 100 and (at[: min(n, 100)] >= 0).all()
+        for i in np.flatnonzero(at >= 0):
+            assert own.ids[own.begin[at[i]] :][: own.size[at[i]]].tolist() == ids[off[i] : off[i + 1]].tolist()
+
+
 def test_counts_cover_all_texts(spark):
     df = spark.createDataFrame([(" the the",), (None,), ("a the",), ("a the",)], "text string").repartition(3)
     assert {bytes(r.word): r.n for r in B.word_counts(df).collect()} == {b" the": 4, b"a": 2}

@@ -65,8 +65,14 @@ def test_round_trip_and_independent_blocks(spark):
     book = H.codebook(df)
     blocks = H.huffman_encode(df, book, block=256)
     assert blocks.columns == ["doc_id", "block", "n_ids", "n_bits", "payload", "checkpoints", "checksum"]
-    got = H.huffman_decode(blocks.distinct(), book)
-    assert {r.doc_id: r.token_ids for r in got.collect()} == {d: ids or [] for d, ids, _ in rows()}
+    got = H.huffman_decode(blocks, book)
+    assert sorted((repr(r.doc_id), r.token_ids) for r in got.collect()) == sorted((repr(d), ids or []) for d, ids, _ in rows())
+    checked = H.huffman_encode(df, book, block=256, verify=True)
+    assert checked.columns[-1] == "exact" and checked.where("exact").count() == blocks.count()
+    packed = [(d, None if ids is None else np.array(ids, "<u2").tobytes()) for d, ids, _ in rows()]
+    other = spark.createDataFrame(packed, "doc_id long, token_ids binary").repartition(3)
+    assert H.codebook(other, width=2).lengths.tolist() == book.lengths.tolist()
+    assert sorted(map(repr, H.huffman_encode(other, book, block=256, width=2).collect())) == sorted(map(repr, blocks.collect()))
     some = blocks.where("block = 1").withColumn("ids", H.block_ids(book, spark)("payload", "n_ids", "checkpoints")).collect()
     plain = {d: ids for d, ids, _ in rows()}
     assert some and all(r.ids == plain[r.doc_id][256:512] for r in some)
@@ -84,6 +90,11 @@ def test_edges(spark):
     assert book.lengths.tolist() == [0] * 7 + [1]
     with pytest.raises(Exception, match="not counted"):
         H.huffman_encode(df, book).collect()
+    twice = spark.createDataFrame([(1, [7, 8])] * 2, "doc_id long, token_ids array<int>")
+    own = H.codebook(twice)
+    assert [r.token_ids for r in H.huffman_decode(H.huffman_encode(twice, own), own).collect()] == [[7, 8]] * 2
+    wide = spark.createDataFrame([(1, list(range(40)))], "doc_id long, token_ids array<int>")
+    assert H.codebook(wide, limit=5).limit == 6
     none = H.codebook(df.limit(0))
     assert H.huffman_encode(df.limit(0), none).count() == 0
     assert [(r.n_ids, r.n_bits) for r in H.huffman_encode(df.where("doc_id = 60"), none).collect()] == [(0, 0)]
