@@ -7,12 +7,26 @@ known prefix is looked at again (Bingmann, Eberle and Sanders, 2017).
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 
 
+def pack(*value) -> bytes:
+    """A block for an exchange."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(value, 5))
+
+
+def unpack(block: bytes) -> tuple:
+    import zstandard
+
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(block))
+
+
 def common_prefix(a: bytes, b: bytes, at: int = 0) -> int:
     """Length of the common prefix of a and b, given that they agree before `at`."""
     n = min(len(a), len(b))

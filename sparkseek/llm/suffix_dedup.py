@@ -17,20 +17,18 @@ set apart by ASCII white space, the amount of which doesn't matter; texts of any
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runs import front_code, front_decode, merge, spans
-from .shared import durable
-from .text import gram_hashes, mix, parts, utf8, word_bounds, word_hashes
+from .runs import front_code, front_decode, merge, pack, spans, unpack
+from .shared import durable, hidden, small_batches
+from .text import gram_hashes, lean, mix, parts, release, utf8, word_bounds, word_hashes
 
 WINDOW, GRAM = 50, 25
-RUN_ENTRIES, RANGE_ENTRIES = 100_000, 60_000
+RUN_BYTES, RANGE_ENTRIES = 12 << 20, 60_000
 _PLACE = np.uint64((1 << 28) - 1)
 NO_ID = (1 << 63) - 1
 
@@ -75,16 +73,18 @@ def _anchor_udf(window: int, gram: int):
         flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, np.int64), (places, np.int32), (heads, np.int64))]
         return pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["h", "p", "head"]))
 
-    return F.arrow_udf(find, "array<struct<h:bigint,p:int,head:bigint>>")
+    return F.arrow_udf(lean(find), "array<struct<h:bigint,p:int,head:bigint>>")
 
 
-def contexts(key: int, x: int, text: bytes, places: list[int], window: int, gram: int, into: dict) -> None:
-    """Adds each place to the entry of its (suffix, words before)."""
-    words = text.split()
+def contexts(key: int, x: int, text: bytes, places: list[int], window: int, gram: int, into: dict) -> int:
+    """Adds each place to the entry of its (suffix, words before); the bytes that this takes."""
+    words, size = text.split(), 0
     for p in places:
         suffix = b" ".join(words[p : p + window]) + b" "
         before = b" ".join(words[max(0, p - window + gram) : p])
         into.setdefault((suffix, before), []).append((key, x, p))
+        size += len(suffix) + len(before) + 200
+    return size
 
 
 def coded_run(entries: dict, cuts: list[int]) -> list[tuple[int, bytes]]:
@@ -98,7 +98,7 @@ def coded_run(entries: dict, cuts: list[int]) -> list[tuple[int, bytes]]:
         flat = np.array([v for m in members for v in m], np.int64).reshape(-1, 3)
         left = b"\n".join(b for _, b in order[i:j])
         ints = [np.array(v, np.uint32).tobytes() for v in (shared, lengths, counts)]
-        out.append((target, pickle.dumps((*ints, rests, left, flat[:, 0].tobytes(), flat[:, 1].tobytes(), flat[:, 2].astype(np.int32).tobytes()), 5)))
+        out.append((target, pack(*ints, rests, left, flat[:, 0].tobytes(), flat[:, 1].tobytes(), flat[:, 2].astype(np.int32).tobytes())))
     return out
 
 
@@ -106,22 +106,30 @@ def merged(blocks: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np
     """All entries of a range in order: words shared with the entry before, words in front, number of words in the suffix, and (entry, key, x, place) of all members."""
     runs, lefts, counts, keys = [], [], [], []
     for block in blocks:
-        shared, lengths, count, rests, left, *ids = pickle.loads(block)
+        shared, lengths, count, rests, left, *ids = unpack(block)
         shared, lengths = (np.frombuffer(v, np.uint32).tolist() for v in (shared, lengths))
         runs.append((shared, front_decode(shared, rests, lengths)))
         lefts.append(left.split(b"\n"))
         count = np.frombuffer(count, np.uint32).astype(np.int64)
         counts.append(np.concatenate([[0], np.cumsum(count)]))
         keys.append(tuple(np.frombuffer(v, t).astype(np.int64) for v, t in zip(ids, (np.int64, np.int64, np.int32))))
-    common, left, size, source = [], [], [], []
+    common, left, size, source, place = [], [], [], [], []
     for known, run, at in merge(runs):
         suffix = runs[run][1][at]
         common.append(suffix.count(b" ", 0, known))
         size.append(suffix.count(b" "))
         left.append(lefts[run][at])
-        source.append((run, at))
-    members = [np.stack([np.full(counts[r][a + 1] - counts[r][a], e), *(k[counts[r][a] : counts[r][a + 1]] for k in keys[r])]) for e, (r, a) in enumerate(source)]
-    return np.array(common, np.int64), left, np.array(size, np.int64), np.concatenate(members, axis=1) if members else np.zeros((4, 0), np.int64)
+        source.append(run)
+        place.append(at)
+    if not source:
+        return np.zeros(0, np.int64), [], np.zeros(0, np.int64), np.zeros((4, 0), np.int64)
+    base = np.cumsum([0, *(len(k[0]) for k in keys)])
+    ends = np.concatenate([c + b for c, b in zip(counts, base)])  # where the members of each run's entries end
+    entry = np.cumsum([0, *map(len, counts)])[np.array(source)] + np.array(place)
+    n = ends[entry + 1] - ends[entry]
+    which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - ends[entry], n)
+    members = np.stack([np.repeat(np.arange(len(n)), n), *(np.concatenate(k)[which] for k in zip(*keys))])
+    return np.array(common, np.int64), left, np.array(size, np.int64), members
 
 
 def left_chain(left: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,6 +204,7 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", windo
     the start of the stretch first."""
     if not 0 < gram <= window:
         raise ValueError("0 < gram <= window")
+    small_batches(df.sparkSession)
     docs = _documents(df, text, key)
     found = docs.select("key", "x", F.explode(_anchor_udf(window, gram)("text")).alias("a")).select("key", "x", "a.*")
     often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -218,17 +227,21 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", windo
             data, off = utf8(columns[2])
             raw, at = data.tobytes(), off.tolist()
             for i, (k, x, p) in enumerate(zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[3].to_pylist())):
-                contexts(k, x, raw[at[i] : at[i + 1]], p, window, gram, entries)
-                held += len(p)
-                if held >= RUN_ENTRIES:
-                    yield from _blocks(coded_run(entries, cuts))
-                    entries, held = {}, 0
+                for some in range(0, len(p), 1000):
+                    held += contexts(k, x, raw[at[i] : at[i + 1]], p[some : some + 1000], window, gram, entries)
+                    if held >= RUN_BYTES:
+                        yield from _blocks(coded_run(entries, cuts))
+                        entries, held = {}, 0
         yield from _blocks(coded_run(entries, cuts))
+        entries.clear()
+        release()
 
     def from_runs(table: pa.Table) -> pa.Table:
         got = repeated(*merged(table.column("block").to_pylist()), window, gram)
         names = ["key", "x", "first_word", "end_word", "source"]
-        return pa.table([pa.array(v.astype(np.int64)) for v in got], names=names)
+        out = pa.table([pa.array(v.astype(np.int64)) for v in got], names=names)
+        release()
+        return out
 
     schema = "key long, x long, first_word long, end_word long, source long"
     stretches = texts.mapInArrow(to_runs, "target int, block binary").groupBy("target").applyInArrow(from_runs, schema)
@@ -266,15 +279,16 @@ def without(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """df with the removable stretches cut out of `text`; rows of which no word is left go."""
-    cuts = repeated_spans(df, text, key, **options).groupBy("key", "x").agg(F.collect_list(F.struct("first_word", "end_word")).alias("__cuts"))
+    own, x, new = (hidden(df, c) for c in ("key", "x", "new"))
+    spans_ = repeated_spans(df, text, key, **options).select(F.col("key").alias(own), F.col("x").alias(x), "first_word", "end_word")
+    cuts = spans_.groupBy(own, x).agg(F.collect_list(F.struct("first_word", "end_word")).alias(new + "c"))
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    named = df.withColumns({"__key": F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), "__x": F.xxhash64(value)})
-    cuts = cuts.withColumnsRenamed({"key": "__key", "x": "__x"})
+    named = df.withColumns({own: F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), x: F.xxhash64(value)})
 
     def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
         return pa.array([without(t.encode(), [(c["first_word"], c["end_word"]) for c in cs]).decode() if cs else t for t, cs in zip(texts.to_pylist(), lists.to_pylist())], pa.string())
 
-    joined = named.join(cuts, ["__key", "__x"], "left")
-    done = joined.withColumn("__new", F.when(F.col("__cuts").isNotNull(), F.arrow_udf(cut, "string")(F.col(text).cast("string"), "__cuts")))
-    left = done.where(F.col("__cuts").isNull() | F.col("__new").rlike(r"\S"))
-    return left.withColumn(text, F.coalesce("__new", text)).select(*df.columns)
+    joined = named.join(cuts, [own, x], "left")
+    gone = F.col(new + "c").isNotNull()
+    done = joined.withColumn(new, F.when(gone, F.arrow_udf(lean(cut), "string")(F.col(text).cast("string"), new + "c")))
+    return done.where(~gone | F.col(new).rlike(r"\S")).withColumn(text, F.coalesce(new, text)).select(*df.columns)

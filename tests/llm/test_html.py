@@ -2,20 +2,28 @@ import random
 from collections import defaultdict
 from urllib.parse import urlsplit
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkseek.llm import html as X
 
 WINDOW, GRAM = 8, 4
 
 
+def address(page):
+    i, url, html = page
+    parts = urlsplit(url or "")
+    return (parts.hostname, parts.path.rstrip("/"), parts.query) if parts.hostname else (i, html)
+
+
 def brute(pages, window=WINDOW, least=2):
-    """pages: distinct (id, url, html). Text and number of removed words of each."""
+    """pages: distinct (id, url, html), each url without anything but host, path and query. Text and number of removed words of each."""
     on = defaultdict(set)
     streams = [(i, urlsplit(u or "").hostname or "", X.tokens(h)) for i, (_, u, h) in enumerate(pages)]
     for i, host, s in streams:
         for p in range(len(s) - window + 1):
-            on[host, tuple(s[p : p + window])].add(i)
+            on[host, tuple(s[p : p + window])].add(address(pages[i]))
     out = []
     for _, host, s in streams:
         gone = set()
@@ -42,6 +50,13 @@ def pages(seed=2, n=60):
     return out
 
 
+def test_shortened_hashes():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 101).astype(np.uint64)
+    for width in (6, 7, 10):
+        for n in (0, 1, 2, 101):
+            assert (X._lengthened(X._shortened(h[:n], width), n, width) == h[:n] & np.uint64((1 << 4 * width) - 1)).all()
+
+
 def test_tokens():
     t = X.tokens("<!DOCTYPE html><head><title>no</title></head><style>p{}</style><p class='a>b'>x&lt;y <b>z</b>w<br/>1 < 2</P><script>var t='</p>';</script><!-- <p> -->é\x02")
     assert t == ["\x02p", "x<y", "zw", "\x02br", "1", "<", "2", "\x02/p", "é"]
@@ -52,7 +67,7 @@ def test_tokens():
 
 @pytest.mark.parametrize("entries", [50, 100_000])
 def test_against_brute_force(spark, monkeypatch, entries):
-    monkeypatch.setattr(X, "RUN_ENTRIES", entries)
+    monkeypatch.setattr(X, "RUN_BYTES", 500 * entries)
     own = pages()
     df = spark.createDataFrame(own, "page_id long, url string, html string").repartition(4)
     for least in (2, 4):
@@ -66,7 +81,7 @@ def test_against_brute_force(spark, monkeypatch, entries):
 def test_edges(spark):
     foot = "<p>" + " ".join(f"w{i}" for i in range(20)) + "</p>"
     long = " ".join(f"u{i}" for i in range(40_000))
-    rows = [(1, None, None, 0), (2, None, "", 0), (3, "http://a/", foot, 0), (3, "http://a/", foot, 0), (4, "http://b/", foot + "mine", 0), (5, "not a url", foot + "own", 0), (None, None, foot + "other", 0), (6, "http://c/", long, 0), (7, "http://c/", long + " tail", 0)]
+    rows = [(1, None, None, 0), (2, None, "", 0), (3, "http://a/", foot, 0), (3, "http://a/", foot, 0), (4, "http://b/", foot + "mine", 0), (5, "not a url", foot + "own", 0), (None, None, foot + "other", 0), (6, "http://c/x", long, 0), (7, "http://c/", long + " tail", 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     out = X.extract(df, window=WINDOW, gram=GRAM)
     assert out.columns == ["page_id", "url", "text", "n_words", "n_removed"]
@@ -78,6 +93,21 @@ def test_edges(spark):
         X.extract(df, window=4, gram=5)
 
 
+def test_variants_of_an_address_and_two_hosts(spark):
+    words = lambda s: " ".join(f"{s}{i}" for i in range(30))
+    urls = ["http://h.org/a/b/", "https://H.org/a/b?utm_source=x", "https://h.org/a/b#part", "https://h.org/a/b?ref=1&utm_medium=2"]
+    rows = [(i, u, f"<p>{words('w')}</p>") for i, u in enumerate(urls)]
+    rows += [(10, "http://h.org/a/b?page=2", f"<p>{words('x')}</p>"), (11, "http://h.org/a/b?page=3", f"<p>{words('x')}</p>")]
+    rows += [(20, "http://one.org/", f"<p>{words('y')}</p>"), (20, "http://two.org/", f"<p>{words('y')}</p>"), (21, "http://two.org/z", f"<p>{words('y')}</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"pid": F.lit(1), "host": F.lit("h"), "z": F.lit(2.0)})
+    out = X.extract(df)
+    assert out.columns == ["page_id", "url", "pid", "host", "z", "text", "n_words", "n_removed"]
+    got = {(r.page_id, r.url): r.text for r in out.collect()}
+    assert all(got[i, u] == words("w") for i, u in enumerate(urls))
+    assert got[10, rows[4][1]] == got[11, rows[5][1]] == "" == got[20, "http://two.org/"] == got[21, "http://two.org/z"]
+    assert got[20, "http://one.org/"] == words("y")
+
+
 def test_short_footer_with_production_parameters(spark):
     article = lambda i: "".join(f"<p>{' '.join(f'a{i}x{j}x{k}' for k in range(30))}</p>" for j in range(3))
     own = [(i, f"http://d.example.com/{i}", f"<body>{article(i)}<footer>(c) d.example.com . one two three four</footer></body>") for i in range(6)]

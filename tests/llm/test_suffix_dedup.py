@@ -53,7 +53,7 @@ def spans_of(gone):
 def test_against_brute_force(spark, monkeypatch, entries):
     for seed in (1, 2):
         docs = corpus(seed)
-        monkeypatch.setattr(S, "RUN_ENTRIES", entries)
+        monkeypatch.setattr(S, "RUN_BYTES", 300 * entries)
         monkeypatch.setattr(S, "RANGE_ENTRIES", 3 * entries)
         df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string").repartition(5)
         got = S.duplicate_spans(df, window=L, gram=G).collect()
