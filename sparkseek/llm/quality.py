@@ -1,7 +1,7 @@
 """Quality rules: hashed word and character n-gram logistic regression, calibrated, against fixed thresholds.
 
 Features of a text, each hashed into 2**BITS buckets and counted as a share of its kind within the text:
-byte 3-grams and 4-grams, words, and pairs of neighbouring words.  A pair is hashed by the *difference* of its words,
+character 3-grams and 4-grams, words, and pairs of neighbouring words.  A pair is hashed by the *difference* of its words,
 so that an immediate repetition falls into one bucket whatever the word is.
 
 Training reads at most `max_rows` labelled documents, those with the least hash of their id (a documented bound; all
@@ -23,25 +23,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import gram_hashes, mix, parts, segment_sums, utf8, word_hashes
+from .shared import hidden, small_batches
+from .text import lean, mix, parts, release, segment_sums, utf8, word_hashes
 
 BITS, MAX_ROWS, KEEP = 16, 3000, 0.5
 KINDS = 4
+AT_ONCE = 1 << 18  # features that training works on at once
+
+
+def characters(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each UTF-8 character as one number, and the rows' offsets into them."""
+    first = (data & 0xC0) != 0x80
+    first[off[:-1][off[:-1] < len(data)]] = True
+    at = np.flatnonzero(first)
+    wide = np.concatenate([data, np.zeros(3, np.uint8)])
+    code, more = data[at].astype(np.uint32), np.ones(len(at), bool)
+    if len(at) < len(data):
+        size = np.diff(np.append(at, len(data)))
+        for k in (1, 2, 3):
+            more = size > k
+            code[more] |= wide[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return code, np.concatenate([[0], np.cumsum(first)])[off]
 
 
 def features(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind: the buckets of all its n-grams in row order, and the rows' offsets into them."""
     out = []
-    b = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
-    four = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
-    for n, code in ((3, four & np.uint32(0xFFFFFF)), (4, four)):
+    code, at = characters(data, off)
+    n = len(code)
+    c = np.concatenate([code, np.zeros(3, np.uint32)])
+    three = c[:n] * np.uint32(0x85EBCA6B) + c[1 : n + 1] * np.uint32(0x9E3779B1) + c[2 : n + 2] * np.uint32(0xC2B2AE35)
+    for size, h in ((3, three), (4, three + c[3 : n + 3] * np.uint32(0x27D4EB2F))):
         # the n-grams that would leave their row fall into bucket 0 of their kind
-        bucket = (code * np.uint32(0x9E3779B1 if n == 4 else 0x85EBCA6B)) >> np.uint32(32 - BITS)
-        ends = off[1:]
-        for k in range(1, n):
-            at = ends - k
-            bucket[at[at >= off[:-1]]] = 0
-        out.append((bucket, off))
+        h ^= h >> np.uint32(15)
+        bucket = (h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)
+        for k in range(1, size):
+            last = at[1:] - k
+            bucket[last[last >= at[:-1]]] = 0
+        out.append((bucket, at))
     words, _, _, rows = word_hashes(data, off)
     shift = np.uint64(64 - BITS)
     out.append(((words >> shift).astype(np.uint32), rows))
@@ -102,8 +121,9 @@ def _sparse(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(keys, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["k", "v"])
 
 
-def fit(keys: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, rounds: int = 60, rate: float = 0.05, l2: float = 1e-6) -> Model:
-    """Full-batch Adam on the training four fifths, Platt scaling on the rest; rows in a fixed order give a fixed model."""
+def fit(keys: np.ndarray, shares: np.ndarray, off: np.ndarray, rows: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.05, l2: float = 1e-6) -> Model:
+    """Full-batch Adam on the training four fifths of `rows`, Platt scaling on the rest; rows in a fixed order give a fixed model.
+    The features of row i are keys[off[i]:off[i + 1]]; y is by place in rows. Gradients are summed AT_ONCE features at a time."""
     size = KINDS << BITS
     if not len(y) or y.min() == y.max():
         return Model(np.zeros((KINDS, 1 << BITS)), 0.0, 0.0, 40.0, len(y))
@@ -111,38 +131,48 @@ def fit(keys: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, rounds:
     if len(np.unique(y[back])) < 2 or len(np.unique(y[~back])) < 2:
         back[:] = False
 
-    def stacked(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        rows = np.flatnonzero(which)
-        n = np.array([len(keys[r]) for r in rows])
-        return np.concatenate([keys[r] for r in rows]), np.concatenate([shares[r] for r in rows]), np.repeat(np.arange(len(rows)), n), y[rows]
-
-    k, v, row, target = stacked(~back)
-    scale = 1e-3 / (np.sqrt(np.bincount(k, v.astype(np.float64) ** 2, size) / len(target)) + 1e-3)  # features that vary little learn slowly
-    v = (v / scale[k]).astype(np.float32)
-    firsts = np.flatnonzero(np.diff(row, prepend=-1))
-    order = np.argsort(k, kind="stable")  # by column, for the gradient
-    kc, vc, rc = k[order], v[order], row[order].astype(np.int32)
-    columns = np.flatnonzero(np.diff(kc, prepend=-1))
-    used = kc[columns]
-    del order, kc
+    def portions(which: np.ndarray) -> list[tuple]:
+        """(features, shares, first feature of each row, places in which) by rows that have some."""
+        own = rows[which]
+        n = off[own + 1] - off[own]
+        cut = np.flatnonzero(np.diff(np.cumsum(n) // AT_ONCE)) + 1
+        out = []
+        for part in np.split(np.arange(len(own)), cut):
+            part = part[n[part] > 0]
+            if len(part):
+                at = [slice(off[i], off[i + 1]) for i in own[part]]
+                out.append((np.concatenate([keys[a] for a in at]), np.concatenate([shares[a] for a in at]).astype(np.float32), np.cumsum(n[part]) - n[part], n[part], part))
+        return out
+
+    train, target = portions(~back), y[~back]
+    squares = np.zeros(size)
+    for k, v, _, _, _ in train:
+        squares += np.bincount(k, v.astype(np.float64) ** 2, size)
+    scale = 1e-3 / (np.sqrt(squares / len(target)) + 1e-3)  # features that vary little learn slowly
+    for k, v, _, _, _ in train:
+        v /= scale[k].astype(np.float32)
     w, c = np.zeros(size), 0.0
     m, s, mc, sc = np.zeros(size), np.zeros(size), 0.0, 0.0
     weight = np.where(target == 1, 0.5 / max(target.mean(), 1e-9), 0.5 / max(1 - target.mean(), 1e-9))
     for t in range(1, rounds + 1):
-        p = _sigmoid(np.add.reduceat(v * w.astype(np.float32)[k], firsts, dtype=np.float64) + c)
-        g = weight * (p - target) / len(target)
-        gw, gc = l2 * w, g.sum()
-        gw[used] += np.add.reduceat(vc * g.astype(np.float32)[rc], columns, dtype=np.float64)
+        gw, gc, narrow = l2 * w, 0.0, w.astype(np.float32)
+        for k, v, first, n, part in train:
+            p = _sigmoid(np.add.reduceat(v * narrow[k], first, dtype=np.float64) + c)
+            g = weight[part] * (p - target[part]) / len(target)
+            gw += np.bincount(k, v * np.repeat(g.astype(np.float32), n), size)
+            gc += g.sum()
         m, s, mc, sc = 0.9 * m + 0.1 * gw, 0.99 * s + 0.01 * gw**2, 0.9 * mc + 0.1 * gc, 0.99 * sc + 0.01 * gc**2
         fix, fix2 = 1 - 0.9**t, 1 - 0.99**t
         w -= rate * (m / fix) / (np.sqrt(s / fix2) + 1e-9)
         c -= rate * (mc / fix) / (np.sqrt(sc / fix2) + 1e-9)
     w /= scale
+    del train
     a, b = 1.0, 0.0
     if back.any():
-        k, v, row, target = stacked(back)
-        z = np.bincount(row, v * w[k], len(target)) + c
-        a, b = platt(z, target)
+        z = np.full(int(back.sum()), c)
+        for k, v, first, _, part in portions(back):
+            z[part] += np.add.reduceat(v * w[k], first)
+        a, b = platt(z, y[back])
     return Model(w.reshape(KINDS, -1), c, a, b, len(y))
 
 
@@ -169,18 +199,23 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
     own = own.withColumn("h", F.xxhash64(F.col(key).cast("string"))).orderBy("h", key).limit(max_rows)
     chosen = {r[key]: r["y"] for r in own.collect()}
     if not chosen:
-        return fit([], [], np.zeros(0))
+        return fit(*(np.zeros(0, int) for _ in range(5)))
     spark = documents.sparkSession
+    small_batches(spark)
     ids = spark.createDataFrame(list(chosen.items()), f"`{key}` {dict(labels.dtypes)[key]}, y int")
     texts = documents.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(ids), key).where(F.length(F.trim("text")) > 0).withColumn("f", F.arrow_udf(_sparse, "struct<k:array<int>,v:array<float>>")("text"))
-    got = rows.select(F.xxhash64(F.col(key).cast("string")).alias("h"), key, F.xxhash64("text").alias("x"), "y", "f.k", "f.v").toArrow()
-    got = got.combine_chunks().sort_by([("h", "ascending"), (key, "ascending"), ("x", "ascending")])
+    rows = texts.join(F.broadcast(ids), key).where(F.length(F.trim("text")) > 0).withColumn("f", F.arrow_udf(lean(_sparse), "struct<k:array<int>,v:array<float>>")("text"))
+    got = rows.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("key"), F.xxhash64("text").alias("x"), "y", "f.k", "f.v").toArrow()
+    order = pa.table({"h": got["h"], "key": got["key"], "x": got["x"], "i": pa.array(np.arange(len(got)))}).sort_by([("h", "ascending"), ("key", "ascending"), ("x", "ascending")])
+    h, x, i, y = order["h"].to_numpy(), order["x"].to_numpy(), order["i"].to_numpy(), got["y"].to_numpy()
+    once = i[(np.diff(h, prepend=h[:1] - 1) != 0) | (np.diff(x, prepend=x[:1] - 1) != 0)] if len(i) else i
     keys, shares = got["k"].combine_chunks(), got["v"].combine_chunks()
-    h, x = got["h"].to_numpy(), got["x"].to_numpy()
-    once = [i for i in range(len(h)) if not i or h[i] != h[i - 1] or x[i] != x[i - 1]]
-    off, flat, share = keys.offsets.to_numpy(), keys.values.to_numpy(), shares.values.to_numpy()
-    return fit([flat[off[i] : off[i + 1]] for i in once], [share[off[i] : off[i + 1]] for i in once], got["y"].to_numpy()[once].astype(float), **options)
+    del got
+    release()
+    model = fit(keys.values.to_numpy(), shares.values.to_numpy(), keys.offsets.to_numpy().astype(np.int64), once, y[once].astype(float), **options)
+    del keys, shares
+    release()
+    return model
 
 
 def quality(df: DataFrame, model: Model, text: str = "text", keep: float = KEEP) -> DataFrame:
@@ -190,5 +225,7 @@ def quality(df: DataFrame, model: Model, text: str = "text", keep: float = KEEP)
     def score(column: pa.Array) -> pa.Array:
         return pa.array(shared.value.probabilities(column))
 
-    p = df.withColumn("__p", F.arrow_udf(score, "double")(F.col(text).cast("string")))
-    return p.withColumns({"quality_score": F.round("__p", 6), "quality_keep": F.col("__p") >= F.lit(keep)}).drop("__p")
+    small_batches(df.sparkSession)
+    name = hidden(df, "p")
+    p = df.withColumn(name, F.arrow_udf(lean(score), "double")(F.col(text).cast("string")))
+    return p.withColumns({"quality_score": F.round(name, 6), "quality_keep": F.col(name) >= F.lit(keep)}).drop(name)

@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .text import parts, utf8
+from .shared import hidden, small_batches
+from .text import lean, parts, utf8
 
 THRESHOLD, MIN_WORDS = 0.5, 25
 #: learned(): rows of each language and label, letters of stems, clean rows a language needs, times a row must have a stem to count, toxic rows a stem needs, their share, and log-odds; weight by log-odds.
@@ -249,14 +250,16 @@ def scorer(lexicon: dict[str, float] | None = None, exceptions: tuple[str, ...]
         score = 100.0 * score / np.maximum(words, min_words)
         return pa.StructArray.from_arrays([pa.array(words), pa.array(hits), pa.array(score)], names=["words", "hits", "score"])
 
-    return F.arrow_udf(score, TYPE)
+    return F.arrow_udf(lean(score), TYPE)
 
 
 def toxicity(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
     """df with toxic_words, toxic_hits, toxic_score and toxic; one narrow stage, no shuffle."""
-    scored = df.withColumn("__t", scorer(**options)(F.col(text).cast("string")))
-    names = {"toxic_words": F.col("__t.words"), "toxic_hits": F.col("__t.hits"), "toxic_score": F.round("__t.score", 6), "toxic": F.col("__t.score") >= F.lit(threshold)}
-    return scored.withColumns(names).drop("__t")
+    small_batches(df.sparkSession)
+    name = hidden(df, "t")
+    scored = df.withColumn(name, scorer(**options)(F.col(text).cast("string")))
+    t = F.col(name)
+    return scored.withColumns({"toxic_words": t["words"], "toxic_hits": t["hits"], "toxic_score": F.round(t["score"], 6), "toxic": t["score"] >= F.lit(threshold)}).drop(name)
 
 
 def is_toxic(text: str | Column = "text", threshold: float = THRESHOLD, **options) -> Column:

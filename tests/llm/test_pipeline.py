@@ -2,10 +2,13 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline as C
+import tiktoken
+from test_bpe import PATTERN
 from test_near_dedup import edited, levenshtein
 from test_packing import naive_pack
 from test_suffix_dedup import brute
 
+from sparkseek.llm import bpe as B
 from sparkseek.llm import packing as P
 
 
@@ -70,7 +73,9 @@ def test_run_against_brute_force(spark, tmp_path):
     windows = defaultdict(int)
     for r in rows:
         windows[r.window_id] += r.n_tokens
-    lengths = sorted((n for w in expected.values() for _, n in P.cut(len(w) + 1, P.TIERS)), reverse=True)
+    ranks = {t: i for i, t in enumerate(B.read_vocabulary(B.VOCABULARY)) if t}
+    plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    lengths = sorted((n for r in seen.collect() for _, n in P.cut(len(plain.encode_ordinary(r.text)) + 1, P.TIERS)), reverse=True)
     assert sorted(windows.values()) == sorted(sum(lengths[i] for i in p) for _, p in naive_pack(lengths, P.TIERS))
     assert {r.doc_id for r in rows} == set(expected)
 
@@ -79,3 +84,25 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_repeats_long_texts_and_clashing_names(spark, tmp_path):
+    docs, labels = fixture()
+    rng = random.Random(9)
+    whole = {d: t for d, t, *_ in docs}
+    long = " ".join(rng.choice(whole[8 * i].split()) for i in range(20) for _ in range(3000))
+    more = [(1000, long, "en", None, None), (None, whole[8], None, None, None), (8, whole[8], "en", "src0", 0), (2000, "", "en", "s", 0), (2001, " \n ", None, "s", 0), (2002, None, "en", "s", 0), (None, long[:2000], None, None, None)]
+    rows = [(*r, f"k{i}", i, None) for i, r in enumerate([*docs, *more])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, __digest int, n string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in C.STAGES[:-1]:
+        seen = stage(spark, seen, str(tmp_path))
+        assert seen.dtypes == spark.read.parquet(f"{tmp_path}/documents.parquet").dtypes, name
+    got = seen.collect()
+    assert all(r.key == f"k{r['__digest']}" for r in got) and not {2000, 2001, 2002} & {r.doc_id for r in got}
+    assert sum(r.doc_id == 8 for r in got) == 1 and sum(r.doc_id is None for r in got) == 1
+    assert len(next(r.text for r in got if r.doc_id == 1000).split()) > 50_000
+    packed = C.STAGES[-1][1](spark, seen, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in got}

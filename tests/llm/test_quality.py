@@ -11,10 +11,11 @@ def naive(text, model):
     """One text at a time, n-gram by n-gram."""
     from sparkseek.llm.text import mix, word_hashes
 
-    raw = text.encode()
+    raw, codes = text.encode(), [int.from_bytes(c.encode(), "little") for c in text]
     z = model.intercept
-    for kind, n, mult in ((0, 3, 0x85EBCA6B), (1, 4, 0x9E3779B1)):
-        buckets = [((int.from_bytes(raw[i : i + n], "little") * mult) % 2**32) >> (32 - Q.BITS) if i + n <= len(raw) else 0 for i in range(len(raw))]
+    for kind, n in ((0, 3), (1, 4)):
+        sums = [sum(c * m for c, m in zip(codes[i : i + n], (0x85EBCA6B, 0x9E3779B1, 0xC2B2AE35, 0x27D4EB2F))) % 2**32 for i in range(len(codes))]
+        buckets = [((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> (32 - Q.BITS) if i + n <= len(codes) else 0 for i, h in enumerate(sums)]
         if buckets:
             z += np.mean([model.weights[kind][b] for b in buckets])
     words = [word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0] for w in raw.split()]
@@ -28,7 +29,7 @@ def naive(text, model):
 def test_scoring_against_brute_force():
     rng = random.Random(3)
     model = Q.Model(np.random.default_rng(0).normal(size=(Q.KINDS, 1 << Q.BITS)), 0.3, 1.5, -0.2)
-    texts = ["", "a", " ", "ab c", "é", None, *(" ".join(rng.choices(["the", "of", "été", "x!", "\n", "zz"], k=rng.randint(1, 60))) for _ in range(60))]
+    texts = ["", "a", " ", "ab c", "é", None, *(" ".join(rng.choices(["the", "of", "été", "x!", "\n", "zz", "日本🙂"], k=rng.randint(1, 60))) for _ in range(60))]
     got = model.probabilities(pa.array(texts, pa.string()))
     assert got == pytest.approx([naive(t or "", model) for t in texts], abs=1e-9)
     assert got[10:] == pytest.approx(model.probabilities(pa.array(texts, pa.string())[10:]), abs=1e-12)
