@@ -6,7 +6,8 @@ pieces, then the gaps take, least gap first, the longest pieces that fit from th
 into step groups of GROUP_TOKENS tokens of capacity, always the fullest left into the emptiest group; windows that fill
 no group in their shard are grouped again over FAN shards at a time, level by level, so only the last group of a tier can be short.
 
-A length is the number of words plus one for the end of the document; `length` takes another Column. Only ids and lengths
+A length is the number of tokens plus one for the end of the document: with `lexicon` (of bpe.prepare) the ids of byte-pair
+encoding, of which a piece is the range from piece_start on; else words; `length` takes another Column. Only document ids and lengths
 are shuffled.  Defined results: null, empty and blank texts (length 0 or null) aren't packed; rows that repeat are packed each;
 a text of any length is covered by its pieces without gap or overlap; null ids stay null; an empty table gives an empty result; columns beside id and text aren't read.
 """
@@ -21,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable
-from .text import parts, utf8, word_bounds
+from .bpe import counter
+from .shared import durable, small_batches
+from .text import lean, parts, utf8, word_bounds
 
 TIERS, SHARD_TOKENS, GROUP_TOKENS, FAN = (512, 2048, 8192), 1 << 21, 1 << 16, 64
 SCHEMA = "key long, piece int, piece_start long, n_tokens int, tier int, window_id long, window_offset int, window_tokens int, step_group string, shard long"
@@ -38,10 +40,15 @@ def _count_words(column: pa.Array) -> pa.Array:
 
 def n_tokens(text: Column) -> Column:
     """Words and one for the end; 0 without words."""
-    n = F.arrow_udf(_count_words, "bigint")(text.cast("string"))
+    n = F.arrow_udf(lean(_count_words), "bigint")(text.cast("string"))
     return F.when(n > 0, n + 1).otherwise(F.lit(0))
 
 
+def n_ids(text: Column, lexicon: str) -> Column:
+    """Ids of byte-pair encoding and one for the end; 0 for a blank text."""
+    return F.when(text.cast("string").rlike(r"\S"), counter(lexicon)(text.cast("string")) + 1).otherwise(F.lit(0))
+
+
 def cut(length: int, tiers: tuple[int, ...]) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces."""
     top = tiers[-1]
@@ -150,12 +157,13 @@ def _regroup(level: int, last: bool, group_tokens: int):
     return run
 
 
-def packing(df: DataFrame, text: str = "text", key: str = "doc_id", length: Column | None = None, tiers: tuple[int, ...] = TIERS, shard_tokens: int = SHARD_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def packing(df: DataFrame, text: str = "text", key: str = "doc_id", length: Column | None = None, lexicon: str | None = None, tiers: tuple[int, ...] = TIERS, shard_tokens: int = SHARD_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """One row per piece: id, piece, piece_start, n_tokens, tier, window_id, window_offset, window_tokens, step_group."""
     tiers = tuple(sorted(tiers))
     if not tiers or tiers[0] < 1:
         raise ValueError("tiers must be positive")
-    n = n_tokens(F.col(text)) if length is None else length
+    small_batches(df.sparkSession)
+    n = length if length is not None else n_tokens(F.col(text)) if lexicon is None else n_ids(F.col(text), lexicon)
     docs = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("x"), F.coalesce(n.cast("long"), F.lit(0)).alias("n")).where("n > 0")
     docs = durable(docs)
     total = docs.agg(F.sum("n")).first()[0] or 0

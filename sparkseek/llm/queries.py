@@ -35,9 +35,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ids of byte-pair encoding."""
+    from .bpe import prepare
     from .packing import packing
 
-    return packing(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing(documents, lexicon=prepare(documents))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
