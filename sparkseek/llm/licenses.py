@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import parts, utf8, word_hashes
+from .shared import hidden, small_batches
+from .text import lean, parts, utf8, word_hashes
 
 RARE, SHARE, SLACK = 8, 0.75, 3
 
@@ -160,7 +161,7 @@ def _scanner(templates: tuple, rare: int, share: float, slack: int):
         kind = pa.struct([("license", pa.string()), ("first_word", pa.int32()), ("votes", pa.int32()), ("rare_words", pa.int32())])
         return pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), pa.array(rows, kind))
 
-    return F.arrow_udf(scan, "array<struct<license:string,first_word:int,votes:int,rare_words:int>>")
+    return F.arrow_udf(lean(scan), "array<struct<license:string,first_word:int,votes:int,rare_words:int>>")
 
 
 def licenses(df: DataFrame, text: str = "text", templates: dict | None = None, rare: int = RARE, share: float = SHARE, slack: int = SLACK) -> DataFrame:
@@ -168,4 +169,7 @@ def licenses(df: DataFrame, text: str = "text", templates: dict | None = None, r
     own = tuple((TEMPLATES if templates is None else templates).items())
     names = ("license", "first_word", "votes", "rare_words")
     others = [c for c in df.columns if c != text and c not in names]
-    return df.select(*others, F.explode(_scanner(own, rare, share, slack)(F.col(text).cast("string"))).alias("__f")).select(*others, "__f.*")
+    small_batches(df.sparkSession)
+    name = hidden(df, "f")
+    rows = df.select(*others, F.explode(_scanner(own, rare, share, slack)(F.col(text).cast("string"))).alias(name))
+    return rows.select(*others, *(F.col(name)[c].alias(c) for c in names))

@@ -18,15 +18,16 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
-from .text import mix, utf8
+from .frames import Codec, dictionary
+from .shared import small_batches, written
+from .text import lean, mix, utf8
 
 MIN, AVERAGE, MAX = 512, 2048, 16384
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-SPAN, PART = 32, 1 << 22
+SPAN, PART = 32, 1 << 20
+SAMPLED, SAMPLED_BYTES = 300, 1 << 14  # payloads, and bytes of each, that the dictionary of frames is learned from
 CHUNKS = "array<struct<ord:int,start:bigint,size:int,digest:binary>>"
 
 
@@ -80,7 +81,7 @@ def _chunks(least: int, average: int, most: int):
         own = pa.StructArray.from_arrays([pa.array(orders, pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary())], names=["ord", "start", "size", "digest"])
         return pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), own)
 
-    return F.arrow_udf(run, CHUNKS)
+    return F.arrow_udf(lean(run), CHUNKS)
 
 
 def _digests(column: pa.Array) -> pa.Array:
@@ -88,50 +89,48 @@ def _digests(column: pa.Array) -> pa.Array:
 
 
 def digests(name: str) -> Column:
-    return F.arrow_udf(_digests, "binary")(F.col(name))
-
-
-def _deflated(column: pa.Array) -> pa.Array:
-    import zstandard
-
-    z = zstandard.ZstdCompressor(level=1)
-    return pa.array([z.compress(v) for v in column.to_pylist()], pa.binary())
+    return F.arrow_udf(lean(_digests), "binary")(F.col(name))
 
 
 def _joined(column: pa.Array) -> pa.Array:
     return pa.array([None if any(c["bytes"] is None for c in p) else b"".join(c["bytes"] for c in p) for p in column.to_pylist()], pa.binary())
 
 
-def _served(z: pa.Array, places: pa.Array) -> pa.Array:
+def _served(codec: Codec):
     """The chunks at these places of each payload."""
-    import zstandard
 
-    d = zstandard.ZstdDecompressor()
-    out = []
-    for packed, own in zip(z.to_pylist(), places.to_pylist()):
-        raw = d.decompress(packed) if own else b""
-        out.append([{"digest": p["digest"], "bytes": raw[p["start"] : p["start"] + p["size"]]} for p in own or ()])
-    return pa.array(out, pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())])))
+    def run(z: pa.Array, places: pa.Array) -> pa.Array:
+        out = []
+        for raw, own in zip(codec.unpack(z), places.to_pylist()):
+            out.append([{"digest": p["digest"], "bytes": raw[p["start"] : p["start"] + p["size"]]} for p in own or ()])
+        return pa.array(out, pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())])))
 
+    return run
 
-def _rebuilt(z: pa.Array, places: pa.Array, order: pa.Array, others: pa.Array) -> pa.Array:
+
+def _rebuilt(codec: Codec):
     """Digest of the payload that the ordered chunks make, those whose home it is and those brought from others; null where
     one is missing or isn't what its digest says."""
-    out = []
-    for want, mine, theirs in zip(order.to_pylist(), _served(z, places).to_pylist(), others.to_pylist()):
-        have = {c["digest"]: c["bytes"] for c in (*mine, *(theirs or ()))}
-        whole = b"".join(have.get(w, b"") for w in want)
-        out.append(digest(whole) if all(w in have for w in want) and all(digest(b) == w for w, b in have.items()) else None)
-    return pa.array(out, pa.binary())
+    served = _served(codec)
+
+    def run(z: pa.Array, places: pa.Array, order: pa.Array, others: pa.Array) -> pa.Array:
+        out = []
+        for want, mine, theirs in zip(order.to_pylist(), served(z, places).to_pylist(), others.to_pylist()):
+            have = {c["digest"]: c["bytes"] for c in (*mine, *(theirs or ()))}
+            whole = b"".join(have.get(w, b"") for w in want)
+            out.append(digest(whole) if all(w in have for w in want) and all(digest(b) == w for w, b in have.items()) else None)
+        return pa.array(out, pa.binary())
+
+    return run
 
 
 def chunk_lists(payloads: DataFrame, least: int = MIN, average: int = AVERAGE, most: int = MAX) -> DataFrame:
-    """Of distinct payloads (media, payload): media, ord, start, size, digest, home (the payload that stores it), stored (here),
-    shared (another payload has it)."""
+    """Of payloads (media, payload): media, ord, start, size, digest, home (the payload that stores it), stored (here),
+    shared (another payload has it). Homes are found by an aggregation that begins before the exchange, and come back by a join
+    that can be split, so that a chunk may be in any share of the payloads. Rows that repeat a payload repeat its list."""
     rows = payloads.select("media", F.explode(_chunks(least, average, most)("payload")).alias("c")).select("media", "c.*")
-    rows = rows.repartition(F.col("digest")).dropDuplicates(["digest", "media", "ord"])
-    w = W.partitionBy("digest")
-    found = rows.withColumns({"least": F.min(F.struct("media", "ord")).over(w), "most": F.max("media").over(w)})
+    homes = rows.groupBy("digest").agg(F.min(F.struct("media", "ord")).alias("least"), F.max("media").alias("most"))
+    found = rows.join(homes, "digest")
     stored = (F.col("media") == F.col("least.media")) & (F.col("ord") == F.col("least.ord"))
     return found.select("media", "ord", "start", "size", "digest", F.col("least.media").alias("home"), stored.alias("stored"), (F.col("least.media") != F.col("most")).alias("shared"))
 
@@ -141,25 +140,30 @@ def media(df: DataFrame, payload: str, least: int = MIN, average: int = AVERAGE,
     for it), and verified."""
     if not SPAN <= least <= average <= most:
         raise ValueError(f"{SPAN} <= least <= average <= most")
+    small_batches(df.sparkSession)
     names = ("media", "n_bytes", "chunks", "n_new", "new_bytes", "verified")
     others = [c for c in df.columns if c != payload and c not in names]
     value = F.col(payload).cast("binary")
-    rows = df.select(*others, value.alias("__payload")).withColumn("media", digests("__payload"))
-    full = rows.where("media is not null").select("media", F.col("__payload").alias("payload"))
+    own = F.struct(*others).alias("about") if others else F.lit(None).alias("about")  # a struct, so that no name clashes
+    rows = df.select(own, value.alias("payload")).withColumn("media", digests("payload"))
+    full = rows.where("media is not null").select("media", "payload")
+    codec = Codec(dictionary(bytes(r[0])[:SAMPLED_BYTES] for r in full.select("payload").limit(SAMPLED).toLocalIterator()), 3)
     lists = written(chunk_lists(full, least, average, most), "chunk-lists")
     place = F.struct("ord", "start", "size", "digest", "shared")
-    plans = lists.groupBy("media").agg(F.sort_array(F.collect_list(F.struct("ord", "digest"))).alias("o"), F.collect_list(F.when(F.col("stored"), place)).alias("own"), F.sum(F.col("stored").cast("int")).alias("n_new"), F.sum(F.when(F.col("stored"), F.col("size")).otherwise(0)).alias("new_bytes"))
-    plans = plans.withColumn("chunks", F.col("o.digest")).drop("o")
+    plans = lists.groupBy("media").agg(F.sort_array(F.collect_set(F.struct("ord", "digest"))).alias("o"), F.collect_set(F.when(F.col("stored"), place)).alias("own"))
+    plans = plans.select("media", "own", F.col("o.digest").alias("chunks"), F.size("own").cast("bigint").alias("n_new"), F.aggregate("own", F.lit(0).cast("bigint"), lambda s, c: s + c["size"]).alias("new_bytes"))
     # one exchange of payloads, which both branches reuse; Python functions come last in each, as nothing is known of partitions behind them
-    homes = full.withColumn("z", F.arrow_udf(_deflated, "binary")("payload")).select("media", "z").repartition(F.col("media")).dropDuplicates(["media"]).join(plans, "media")
-    served = homes.select(F.explode(F.arrow_udf(_served, "array<struct<digest:binary,bytes:binary>>")("z", F.filter("own", lambda c: c["shared"]))).alias("c")).select("c.digest", "c.bytes")
+    deflated = F.arrow_udf(lean(lambda column: codec.pack(column.to_pylist())), "binary")
+    homes = full.withColumn("z", deflated("payload")).select("media", "z").dropDuplicates(["media"]).join(plans, "media")
+    served = homes.select(F.explode(F.arrow_udf(lean(_served(codec)), "array<struct<digest:binary,bytes:binary>>")("z", F.filter("own", lambda c: c["shared"]))).alias("c")).select("c.digest", "c.bytes")
     asked = lists.where("home <> media").select("digest", "media").distinct()
     brought = asked.join(served, "digest").groupBy("media").agg(F.collect_list(F.struct("digest", "bytes")).alias("others"))
-    about = rows.select(*others, "media", F.octet_length("__payload").alias("n_bytes"))
-    again = F.arrow_udf(_rebuilt, "binary")("z", "own", "chunks", "others")
-    done = homes.join(brought, "media", "left").join(about.where("n_bytes > 0"), "media").select(*others, "media", "n_bytes", "chunks", "n_new", "new_bytes", again.eqNullSafe(F.col("media")).alias("verified"))
+    about = rows.select("about", "media", F.octet_length("payload").alias("n_bytes"))
+    again = F.arrow_udf(lean(_rebuilt(codec)), "binary")("z", "own", "chunks", "others")
+    columns = [F.col("about").getField(c).alias(c) for c in others]
+    done = homes.join(brought, "media", "left").join(about.where("n_bytes > 0"), "media").select(*columns, "media", "n_bytes", "chunks", "n_new", "new_bytes", again.eqNullSafe(F.col("media")).alias("verified"))
     empty = F.col("media").isNotNull()
-    rest = about.where("media is null or n_bytes = 0").select(*others, "media", "n_bytes", F.when(empty, F.array().cast("array<binary>")).alias("chunks"), *(F.when(empty, F.lit(0)).cast("bigint").alias(c) for c in ("n_new", "new_bytes")), F.when(empty, F.lit(True)).alias("verified"))
+    rest = about.where("media is null or n_bytes = 0").select(*columns, "media", "n_bytes", F.when(empty, F.array().cast("array<binary>")).alias("chunks"), *(F.when(empty, F.lit(0)).cast("bigint").alias(c) for c in ("n_new", "new_bytes")), F.when(empty, F.lit(True)).alias("verified"))
     return done.unionByName(rest)
 
 
@@ -167,4 +171,4 @@ def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
     """(media, payload, verified) from chunk lists (media, ord, digest) and a store (digest, bytes), by a join."""
     parts = lists.select("media", "ord", "digest").join(store.select("digest", "bytes"), "digest", "left")
     whole = parts.groupBy("media").agg(F.sort_array(F.collect_list(F.struct("ord", "bytes"))).alias("p"))
-    return whole.select("media", F.arrow_udf(_joined, "binary")("p").alias("payload")).withColumn("verified", digests("payload").eqNullSafe(F.col("media")))
+    return whole.select("media", F.arrow_udf(lean(_joined), "binary")("p").alias("payload")).withColumn("verified", digests("payload").eqNullSafe(F.col("media")))
