@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import durable
@@ -16,9 +15,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.withColumn("m", F.least("u", F.min("v").over(W.partitionBy("u"))))
+        near = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("u", "m"))
         large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        near = large.withColumn("m", F.min("v").over(W.partitionBy("u")))
+        large = durable(large)
+        near = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = near.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         e = durable(small)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -150,3 +150,14 @@ def test_star_family_against_brute_force(spark):
         parent = [min(a, b) if p in (a, b) else p for p in parent]
     df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(4)
     assert [r.group_id for r in N.near_duplicates(df).orderBy("doc_id").collect()] == parent == [0] * 121 + [121] * 121
+
+
+def test_word_counts_never_part_similar_texts():
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    for _ in range(300):
+        a = rng.choices(vocabulary, k=rng.randint(1, 400))
+        b = edited(rng, a, vocabulary, rng.choice([0.05, 0.2, 0.4])) if rng.random() < 0.7 else rng.choices(vocabulary, k=len(a))
+        words = [np.array([hash(w) & (1 << 63) - 1 for w in t], np.uint64) for t in (a, b)]
+        x, y = (np.frombuffer(N.bags_of(w, np.array([0, len(w)]))[0], np.uint8).astype(int) for w in words)
+        assert np.abs(x - y).sum() <= 2 * levenshtein(a, b)
