@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 run() writes what a stage returns to the shared folder as Parquet and reads it again as the next stage's docs.
+
+Defined results: rows with null, empty or blank text are rejected by the first stage; rows with a null doc_id are judged like others, are the
+last of their group of near duplicates and of the owners of a passage, and are packed with a null id; of rows that repeat, whatever their ids, one stays;
+texts of any length are judged, compared and cut whole; a document of which no word is left goes; columns beside those of documents are kept up
+to packing, whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkseek.llm.bpe import prepare
 from sparkseek.llm.near_dedup import near_dedup
 from sparkseek.llm.packing import packing
 from sparkseek.llm.quality import quality, train
@@ -42,7 +48,8 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing(docs)
+    """Windows of ids of byte-pair encoding."""
+    return packing(docs, lexicon=prepare(docs))
 
 
 STAGES = [("quality rules", quality_stage), ("toxicity", toxicity_stage), ("near duplicates", near_stage), ("suffix-array dedup", passage_stage), ("packing", packing_stage)]
