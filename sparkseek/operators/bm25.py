@@ -1,7 +1,8 @@
 """BM25 over documents (key, text) for batches of text queries (qid, text).
 
-Statistics cover all documents, whatever a filter leaves. Only postings of query terms take part in the join; contributions are
-summed in term order, so that scores don't depend on partitioning.
+Statistics cover all documents, whatever a filter leaves. One pass over the texts gives the postings of query terms and, as postings of
+the empty term, which every document has, all statistics; contributions are summed as whole multiples of 1 / UNIT, so that sums begin
+before the exchange and yet don't depend on partitioning.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 
 from sparkseek.config import Bm25Config, at_least
 from sparkseek.functions.analyze import Analyzer, standard
-from sparkseek.operators.knn import best
+from sparkseek.operators.knn import best, small, spread
+
+
+BROADCAST_TERMS, UNIT = 200_000, float(1 << 48)
 
 
 def analyzed(docs: DataFrame, analyzer: Analyzer | None = None) -> DataFrame:
-    return docs.select("key", (analyzer or standard())(F.col("text")).alias("terms"))
+    return spread(docs.select("key", "text")).select("key", (analyzer or standard())(F.col("text")).alias("terms"))
 
 
 def term_frequencies(docs: DataFrame, analyzer: Analyzer | None = None) -> DataFrame:
@@ -40,16 +44,22 @@ def idf(n: Column, df: Column) -> Column:
 
 def scores(docs: DataFrame, queries: DataFrame, analyzer: Analyzer | None = None, config: Bm25Config = Bm25Config(), where: DataFrame | None = None) -> DataFrame:
     """(qid, key, score) of all documents with a term of the query. where: the keys that may be results."""
-    asked = analyzed(queries.select(F.col("qid").alias("key"), "text"), analyzer).select(F.col("key").alias("qid"), F.explode(F.array_distinct("terms")).alias("term"))
-    tf = term_frequencies(docs, analyzer).join(asked.select("term").distinct(), "term", "left_semi")
-    weights = document_frequencies(tf).crossJoin(F.broadcast(corpus_stats(docs, analyzer)))  # one row
-    weights = weights.select("term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
+    asked = queries.select(F.col("qid"), (analyzer or standard())(F.col("text")).alias("terms")).select("qid", F.explode(F.array_distinct("terms")).alias("term"))
+    terms = asked.select("term").unionByName(asked.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    words = analyzed(docs, analyzer).select("key", F.size("terms").alias("dl"), F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    words = words.join(F.broadcast(terms) if small(terms, BROADCAST_TERMS) else terms, "term", "left_semi")
+    tf = words.groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
+    # sums of what tf holds in any case, and no filters, so that all uses share its exchange
+    counted = tf.groupBy("term").agg(F.sum(F.when(F.col("term") == "", F.col("tf")).otherwise(F.signum("tf").cast("bigint"))).alias("df"), F.sum(F.col("dl") * F.col("tf")).alias("length"))
+    every = lambda c: F.max(F.when(F.col("term") == "", F.col(c)))
+    stats = counted.agg(every("df").alias("n"), every("length").alias("total"))
+    stats = stats.select("n", F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(F.lit(1.0)).alias("avgdl"))
+    weights = counted.crossJoin(F.broadcast(stats)).select("term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))  # one row
     k1, b = F.lit(config.k1), F.lit(config.b)
     part = F.col("idf") * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * (F.lit(1.0) - b + b * F.col("dl") / F.col("avgdl")))
     rows = tf if where is None else tf.join(where.select("key"), "key", "left_semi")
-    rows = rows.join(weights, "term").join(asked, "term").select("qid", "key", F.struct("term", part.alias("part")).alias("c"))
-    own = F.aggregate(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["part"]), F.lit(0.0), lambda s, x: s + x)
-    return rows.groupBy("qid", "key").agg(own.cast("float").alias("score"))
+    rows = rows.join(weights, "term").join(asked, "term").select("qid", "key", F.round(part * F.lit(UNIT)).cast("bigint").alias("part"))
+    return rows.groupBy("qid", "key").agg((F.sum("part") / F.lit(UNIT)).cast("float").alias("score"))
 
 
 def text_search(docs: DataFrame, queries: DataFrame, k: int, analyzer: Analyzer | None = None, config: Bm25Config = Bm25Config(), where: DataFrame | None = None) -> DataFrame:

@@ -204,3 +204,34 @@ def test_wordpiece_query_has_whole_texts(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id as key", "text").join(queries.QUERIES["wordpiece"](spark, "/root/testdata/sf0.001"), "key").collect()
     assert rows and all(len(r.input_ids) - 2 >= len(r.text.split()) for r in rows)
     assert max(len(r.input_ids) for r in rows) > 256
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+@pytest.mark.parametrize("quantization", list(Quantization))
+def test_kernel_has_the_bits_of_the_expressions(spark, metric, quantization):
+    rng = np.random.default_rng(6)
+    data, asked = rng.uniform(-1, 1, (60, 64)).astype(F32), rng.uniform(-1, 1, (5, 64)).astype(F32)
+    data[7] = data[8]
+    v, q = frames(spark, data, asked)
+    both = v.select("key", V.prepared(F.col("vector"), metric).alias("v")).crossJoin(q.select("qid", V.prepared(F.col("query"), metric).alias("q")))
+    score = {
+        Quantization.NONE: V.score(F.col("q"), F.col("v"), metric),
+        Quantization.INT8: V.int8_score(F.col("q"), V.int8_codes(F.col("v")), V.int8_scale(F.col("v")), metric),
+        Quantization.BINARY: V.binary_score(F.col("q"), V.signs(F.col("v")), 64, metric),
+    }[quantization]
+    plain = {(r.qid, r.key, r.score, r.rank) for r in knn.best(both.select("qid", "key", score.alias("score")), 9).collect()}
+    assert {(r.qid, r.key, r.score, r.rank) for r in knn.nearest(v, q, 9, metric, quantization=quantization).collect()} == plain
+
+
+def test_nearest_defines_nulls_nan_lengths_and_blocks(spark, monkeypatch):
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [nan, 1.0]), (5, [1.0, 0.0]), (5, [1.0, 0.0])]
+    v = spark.createDataFrame(rows, "key int, vector array<float>").withColumns({"v": F.lit(1), "scale": F.lit("x")})
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)] + [(99, None)], "qid int, query array<float>")
+    got = knn.nearest(v, q, 9)
+    assert hits(got)[0] == [1, 5, 5, 2] and set(hits(got)) == set(range(40))
+    monkeypatch.setattr(knn, "BROADCAST_QUERIES", 7)
+    assert sorted(got.collect()) == sorted(knn.nearest(v, q, 9).collect())
+    assert knn.nearest(v, q.limit(0), 9).count() == 0 == knn.nearest(v.limit(0), q, 9).count()
+    with pytest.raises(Exception, match="expected 2"):
+        knn.nearest(v.unionByName(v.limit(1).withColumn("vector", F.array(F.lit(1.0).cast("float")))), q, 1).collect()
