@@ -123,19 +123,21 @@ def wordpiece(text: Column, tokenizer: WordPiece, max_tokens: int | None = 256)
 
 
 def mean_pool(tokens: Column, mask: Column) -> Column:
-    """Average of the token vectors with a mask other than 0."""
+    """Average of the token vectors with a mask other than 0; zeros where there is none, null without tokens."""
     own = F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda x: x["m"] != 0), lambda x: x["t"])
-    zero = F.transform(own[0], lambda _: F.lit(0).cast("float"))
+    zero = F.transform(F.get(tokens, F.lit(0)), lambda _: F.lit(0).cast("float"))
     total = F.aggregate(own, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
-    return F.transform(F.array(F.size(own)), lambda n: F.transform(total, lambda x: (x / n).cast("float")))[0]
+    return F.transform(F.array(F.greatest(F.size(own), F.lit(1))), lambda n: F.transform(total, lambda x: (x / n).cast("float")))[0]
 
 
 def cls_pool(tokens: Column) -> Column:
-    return F.element_at(tokens, 1)
+    """The first token's vector; null without tokens."""
+    return F.get(tokens, F.lit(0))
 
 
 def _pooled(out: np.ndarray, mask: list[int], config: EmbedderConfig) -> np.ndarray:
-    v = out[0] if config.pooling == "cls" else out[np.array(mask, bool)].mean(axis=0)
+    kept = out[:1] if config.pooling == "cls" else out[np.array(mask, bool)]
+    v = kept.mean(axis=0) if len(kept) else np.zeros(out.shape[1:], np.float32)
     norm = np.sqrt((v * v).sum())
     return (v / norm if config.normalize and norm > 0 else v).astype(np.float32)
 
