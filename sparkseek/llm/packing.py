@@ -164,8 +164,8 @@ def packing(df: DataFrame, text: str = "text", key: str = "doc_id", length: Colu
         raise ValueError("tiers must be positive")
     small_batches(df.sparkSession)
     n = length if length is not None else n_tokens(F.col(text)) if lexicon is None else n_ids(F.col(text), lexicon)
-    docs = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("x"), F.coalesce(n.cast("long"), F.lit(0)).alias("n")).where("n > 0")
-    docs = durable(docs)
+    docs = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("x"), F.coalesce(n.cast("long"), F.lit(0)).alias("n"))
+    docs = durable(docs).where("n > 0")  # behind the checkpoint, or else the filter would take the lengths a second time
     total = docs.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     top = tiers[-1]

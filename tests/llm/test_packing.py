@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,15 @@ def test_edges(spark):
     assert P.packing(df, length=F.col("n_tokens")).agg(F.sum("n_tokens")).first()[0] == 72
     with pytest.raises(ValueError):
         P.packing(df, tiers=())
+
+
+def test_lengths_are_taken_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def length(column):
+        seen.add(len(column))
+        return pc.binary_length(column)
+
+    df = spark.createDataFrame([(i, "x" * (i % 5)) for i in range(100)], "doc_id long, text string")
+    got = P.packing(df, length=F.arrow_udf(length, "int")("text"))
+    assert seen.value == 100 and got.count() == 80
