@@ -29,8 +29,9 @@ from .text import parts, ragged, release, span_hashes, utf8
 
 VOCABULARY, FREQUENT = "/opt/tokenizers/byte_bpe_50k.tiktoken", 5e-6
 LONG, DECODED = 64, 1 << 18  # bytes of a word that is merged by itself, ids that are decoded at once
-COUNTED, REMEMBERED = 1 << 17, 1 << 18  # words that a task counts before it sends them, that a worker remembers at most
-NEVER = np.int64(1 << 60)
+SIDE, AT_ONCE = (16, 32, LONG), 1 << 13  # bytes of words that are merged side by side, such words at once
+COUNTED, REMEMBERED = 1 << 17, 1 << 19  # words that a task counts before it sends them, that a worker remembers at most
+NEVER, NONE = np.int64(1 << 60), np.int64((1 << 31) - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,39 +49,59 @@ def classes() -> np.ndarray:
     return out
 
 
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """By byte: the class of the character that it belongs to; a byte that is no UTF-8 is other."""
+    out = classes()[:256][data]
+    high = np.flatnonzero(data >= 0x80)
+    if not len(high):
+        return out
+    try:
+        points = np.frombuffer(data[high].tobytes().decode().encode("utf-32-le"), np.uint32)
+        width = 2 + (points >= 0x800).astype(np.int64) + (points >= 0x10000)
+        last = np.cumsum(width) - 1
+        if np.array_equal(high[last] - high[last - width + 1], width - 1):  # no character is torn
+            out[high] = np.repeat(classes()[points], width)
+            return out
+    except UnicodeDecodeError:
+        pass
+    points = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    width[(points >= 0xDC80) & (points < 0xDD00)] = 1
+    return np.repeat(classes()[points], width)
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start byte of each word, and each row's offset into the words; words cover their rows. They are those of
     's|'t|'re|'ve|'m|'ll|'d| ?letters| ?numbers| ?others|white space before white space or the end|white space."""
-    points = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
-    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    width[(points >= 0xDC80) & (points < 0xDD00)] = 1  # a byte that is no UTF-8
-    at = np.cumsum(width) - width
-    n = len(points)
+    n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    kind = classes()[points]
+    kind = _kinds(data)
     row = np.zeros(n + 1, bool)
-    row[np.searchsorted(at, off)] = True
+    row[off] = True
     row[0] = row[n] = True
     first = row[:n].copy()
     first[1:] |= kind[1:] != kind[:-1]
     begin = first.copy()
     after = np.flatnonzero(first & (kind != 0) & ~row[:n])  # words that something precedes
     after = after[kind[after - 1] == 0]
-    begin[after - 1] = True
-    begin[after[points[after - 1] == 32]] = False
-    q = np.flatnonzero((points == 39) & begin & first)
+    space = after - 1
+    while len(inner := np.flatnonzero(data[space] & 0xC0 == 0x80)):
+        space[inner] -= 1
+    begin[space] = True
+    begin[after[data[space] == 32]] = False
+    q = np.flatnonzero((data == 39) & begin & first)
     q = q[~row[q + 1]]
     q = q[kind[q + 1] == 1]
     if len(q):
-        one = np.isin(points[q + 1], [ord(c) for c in "stmd"])
-        third = np.where(row[q + 2], 0, points[np.minimum(q + 2, n - 1)])
-        pair = points[q + 1].astype(np.int64) << 21 | third
-        two = np.isin(pair, [ord(a) << 21 | ord(b) for a, b in ("re", "ve", "ll")])
+        one = np.isin(data[q + 1], [ord(c) for c in "stmd"])
+        third = np.where(row[q + 2], 0, data[np.minimum(q + 2, n - 1)])
+        pair = data[q + 1].astype(np.int64) << 8 | third
+        two = np.isin(pair, [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")])
         begin[q[one | two] + 1] = False
         cut = np.concatenate([q[one] + 2, q[two] + 3])
         begin[cut[cut < n]] = True
-    starts = at[begin]
+    starts = np.flatnonzero(begin)
     return starts, np.searchsorted(starts, off)
 
 
@@ -272,6 +293,7 @@ class Encoder:
         raw, at = self.tokens.tobytes(), self.token_offsets.tolist()
         self.ranks = {raw[at[i] : at[i + 1]]: i for i in range(len(at) - 1) if at[i + 1] > at[i]}
         self.single = np.array([self.ranks.get(bytes([b]), 0) for b in range(256)], np.int64)
+        self.byte_pairs = self.ranked(self.single.repeat(256), np.tile(self.single, 256)).reshape(256, 256)
         self.remembered = Remembered()
 
     def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -300,47 +322,59 @@ class Encoder:
     def merge_all(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """merged() of many words side by side: in each round, every word's leftmost pair of least rank. Longer words go one by one."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, their lengths, ids
-        for w in np.flatnonzero(ends - starts > LONG).tolist():
+        size = ends - starts
+        for w in np.flatnonzero(size > LONG).tolist():
             ids = merged(data[starts[w] : ends[w]].tobytes(), self.ranks)
             out.append((np.array([w]), np.array([len(ids)]), np.array(ids, np.int64)))
-        word = np.flatnonzero(ends - starts <= LONG)
-        n = (ends - starts)[word]
-        off = np.concatenate([[0], np.cumsum(n)])
-        symbol = self.single[data[np.arange(off[-1]) - np.repeat(off[:-1] - starts[word], n)]]
-        rank = np.append(self.ranked(symbol[:-1], symbol[1:]), NEVER)[: len(symbol)]
-        rank[off[1:] - 1] = NEVER
-        while len(word):
-            least = np.minimum.reduceat(rank, off[:-1])
-            done = least == NEVER
-            if done.any():
-                rows = np.repeat(done, n)
-                out.append((word[done], n[done], symbol[rows]))
-                word, n, least = word[~done], n[~done], least[~done]
-                symbol, rank = symbol[~rows], rank[~rows]
-                off = np.concatenate([[0], np.cumsum(n)])
-                if not len(word):
-                    break
-            at = np.flatnonzero(rank == np.repeat(least, n))
-            own = np.searchsorted(off, at, "right")
-            at = at[np.concatenate([[True], own[1:] != own[:-1]])]
-            symbol[at] = least
-            keep = np.ones(len(symbol), bool)
-            keep[at + 1] = False
-            rank[at] = rank[at + 1]  # NEVER at a word's end
-            symbol, rank = symbol[keep], rank[keep]
-            at = at - np.arange(len(at))
-            n = n - 1
-            off = np.concatenate([[0], np.cumsum(n)])
-            right = at[at < off[1:] - 1]
-            rank[right] = self.ranked(symbol[right], symbol[right + 1])
-            left = at[at > off[:-1]] - 1
-            rank[left] = self.ranked(symbol[left], symbol[left + 1])
+        for below, most in zip((-1, *SIDE), SIDE):
+            own = np.flatnonzero((size > below) & (size <= most))
+            for some in np.array_split(own, -(-len(own) // AT_ONCE)) if len(own) else ():
+                out.append((some, *self._merge_side(data, starts[some], size[some])))
         if not out:
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         words_, sizes, ids = (np.concatenate(x) for x in zip(*out))
         flat, at = ragged(ids, np.concatenate([[0], np.cumsum(sizes)]), np.argsort(words_))
         return flat.astype(np.int32), at
 
+    def _merge_side(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and all ids of words. A column is a word, a line a place of it, with a line before and one behind
+        where no pair begins; a pair's key is its rank, then its place."""
+        n, most = len(size), int(size.max())
+        end = most + 1
+        line = np.arange(most)[:, None]
+        inside = line < size
+        raw = data[np.where(inside, starts + line, starts)]
+        symbol = np.full((end + 1, n), NONE)
+        np.copyto(symbol[1:end], self.single[raw], where=inside)
+        key = np.full((end + 1, n), NEVER)
+        if most > 1:
+            pair = self.byte_pairs[raw[:-1], raw[1:]]
+            np.copyto(key[1:most], pair << 8 | line[1:], where=inside[1:] & (pair < NEVER))
+        after = np.repeat(np.minimum(np.arange(end + 1) + 1, end), n)
+        before = np.repeat(np.maximum(np.arange(end + 1) - 1, 0), n)
+        column = np.arange(n)
+        after[size * n + column] = end
+        symbols, keys = symbol.ravel(), key.ravel()
+        while True:
+            least = (key if len(column) == n else key[:, column]).min(axis=0)
+            live = least < NEVER
+            column, least = column[live], least[live]
+            if not len(column):
+                break
+            place = least & 255
+            at = place * n + column
+            gone = after[at] * n + column
+            behind, front = after[gone], before[at]
+            right, left = behind * n + column, front * n + column
+            symbols[at], symbols[gone] = least >> 8, NONE
+            after[at], before[right], keys[gone] = behind, place, NEVER
+            both = np.concatenate([left, at])
+            got = self.ranked(symbols[both], symbols[np.concatenate([at, right])])
+            keys[both] = np.where(got < NEVER, got << 8 | np.concatenate([front, place]), NEVER)
+        by_word = symbol.T
+        used = by_word != NONE
+        return used.sum(1), by_word[used]
+
     def known(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words, and the words' offsets into them: by the automaton, or merged."""
         place = self.places(data, starts, ends)

@@ -151,5 +151,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of the bytes of each span."""
     p, q = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=sums[1:])
+    own = sums[1:]
+    np.add(data, np.uint64(1), out=own)
+    own *= p[: len(data)]
+    np.cumsum(own, out=own)
     return mix((sums[ends] - sums[starts]) * q[starts])

@@ -105,3 +105,25 @@ def test_counts_cover_all_texts(spark):
 def test_vocabulary_file(tmp_path):
     (tmp_path / "v").write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for t, i in ((b"a", 0), (b"ab", 3))))
     assert B.read_vocabulary(str(tmp_path / "v")) == [b"a", b"", b"", b"ab"]
+
+
+def test_words_of_torn_characters_stay_in_their_rows():
+    rows = [b"a \xc3", b"\xa9 b", "　 x".encode(), b"\xe3\x80", b" \xff's"]
+    data, off = B.utf8(pa.array(rows, pa.binary()))
+    starts, at = B.words(data, off)
+    raw, ends = data.tobytes(), np.append(starts[1:], len(data))
+    own = [[raw[a:b] for a, b in zip(starts[i:j], ends[i:j])] for i, j in zip(at, at[1:])]
+    assert [b"".join(x) for x in own] == rows
+    assert own[2] == ["　".encode(), " ".encode(), b"x"] and own[4] == [b" \xff'", b"s"]
+
+
+def test_many_words_met_again_are_not_merged_again(tmp_path, plain):
+    (tmp_path / "f").write_bytes(B.packed(B.read_vocabulary(B.VOCABULARY), []))
+    encoder, seen = B.Encoder(str(tmp_path / "f")), []
+    known = encoder.known
+    encoder.known = lambda *a: seen.append(len(a[1])) or known(*a)
+    text = "".join(f" {'qxz'[i % 3]}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(300_000))
+    first = encoder.encode(pa.array([text]))[0]
+    assert sum(seen) > 1 << 18 and first.tolist() == plain.encode_ordinary(text)
+    seen.clear()
+    assert np.array_equal(encoder.encode(pa.array([text]))[0], first) and not seen
