@@ -38,6 +38,7 @@ from .text import lean, mix, parts, release, utf8, word_hashes
 
 WINDOW, GRAM, PAGES = 8, 4, 2
 RUN_BYTES, BLOCK_ANCHORS = 64 << 20, 1 << 20  # bytes of a run, anchors that a task sends at once
+LEVEL = 12  # of compression, as streams and runs are most of what is exchanged
 SAMPLED = 200  # pages that the dictionary of frames is learned from
 TARGET_BYTES, TARGETS = 16 << 20, 1 << 17  # bytes of pages for each target; targets at most
 _TRACKING = r"(?i)(?<=[?&])(?:utm_[^=&#]*|gclid|fbclid|msclkid|mc_cid|mc_eid|ref|ref_src|sessionid|phpsessid|jsessionid|sid)=[^&#]*&?"
@@ -127,6 +128,39 @@ def _lengthened(raw: bytes, n: int, width: int) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
+def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2^35 in bytes of seven bits, the low ones first, all but the last marked; the numbers' offsets into them."""
+    n = 1 + sum((values >= 1 << k).astype(np.int64) for k in (7, 14, 21, 28))
+    off = np.concatenate([[0], np.cumsum(n)])
+    shift = np.arange(off[-1]) - np.repeat(off[:-1], n)
+    return (np.repeat(values, n) >> 7 * shift & 127 | np.where(shift < np.repeat(n, n) - 1, 128, 0)).astype(np.uint8), off
+
+
+def _numbers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of _varints and the end byte of each."""
+    ends = np.flatnonzero(raw < 128) + 1
+    if not len(ends):
+        return np.zeros(0, np.int64), ends
+    starts = np.append(0, ends[:-1])
+    shift = np.arange(len(raw)) - np.repeat(starts, ends - starts)
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * shift, starts), ends
+
+
+def _cuts(page: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Each page once, with its stretches, those that meet in one, as varints of (first, length)."""
+    order = np.lexsort((first, page))
+    page, first, end = page[order], first[order], end[order]
+    before = np.cumsum(np.diff(page, prepend=page[:1]) != 0) << 33
+    reach = np.maximum.accumulate(before + end)
+    new = np.flatnonzero(np.append(True, (before + first)[1:] > reach[:-1])[: len(page)])
+    last = np.append(new[1:], len(page))[: len(new)] - 1
+    page, first, size = page[new], first[new], (reach - before)[last] - first[new]
+    raw, off = _varints(np.stack([first, size], 1).ravel())
+    own = np.flatnonzero(np.append(True, page[1:] != page[:-1])[: len(page)])
+    cut = off[2 * np.append(own, len(page))].astype(np.int32)
+    return page[own], pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(cut), pa.py_buffer(raw)])
+
+
 def _anchors(codec: Codec, b: pa.RecordBatch, window: int, gram: int):
     """Of a batch (pid, host, address, z, ...): its streams, and of all anchors hash, row and place."""
     hosts = b.column(1).to_numpy(zero_copy_only=False)
@@ -161,6 +195,10 @@ def _packed(codec: Codec, window: int, gram: int, targets: int, width: int):
         held, size, before = [], 0, 0
         for b in batches:
             _, h, row, _ = _anchors(codec, b, window, gram)
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            once = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]  # of those that a page repeats
+            h, row = h[once], row[once]
             held.append((h, before + row, b.column(0).to_numpy(zero_copy_only=False)))
             size, before = size + len(h), before + b.num_rows
             if size >= BLOCK_ANCHORS:
@@ -243,7 +281,7 @@ def _to_runs(codec: Codec, window: int, gram: int, targets: int, width: int):
             lists = [entries[e] for e in own]
             flat = np.array([v for m in lists for v in m], np.int64).reshape(-1, 3)
             ints = [np.array(v, np.uint32).tobytes() for v in (shared, lengths, [len(m) for m in lists])]
-            out.append(pack(*ints, rests, b"\n".join(b for _, b in own), flat[:, 0].tobytes(), flat[:, 1].tobytes(), flat[:, 2].astype(np.int32).tobytes()))
+            out.append(pack(*ints, rests, b"\n".join(b for _, b in own), flat[:, 0].tobytes(), flat[:, 1].tobytes(), flat[:, 2].astype(np.int32).tobytes(), level=LEVEL))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(out, pa.binary())], names=["target", "block"])
 
@@ -291,7 +329,7 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "pag
     host = F.xxhash64(F.coalesce(name, F.lit("")))
     address = F.when(name.isNotNull(), F.xxhash64(name, address_of(link))).otherwise(content)
     ids = F.when(value.isNotNull(), F.xxhash64(content, host, address))
-    codec = Codec(_learned(df, html))
+    codec = Codec(_learned(df, html), LEVEL)
     full = df.select(ids.alias("pid"), host.alias("host"), address.alias("address"), value.alias("html")).where("pid is not null")
     full = full.select("pid", "host", "address", F.arrow_udf(_streams(codec), "binary")("html").alias("z"))
     about = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -304,25 +342,27 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "pag
 
     def from_runs(table: pa.Table) -> pa.Table:
         got = boilerplate(*merged(table.column("block").to_pylist()), window, gram, pages)
-        pid, cut = got[0].astype(np.int64), got[1].astype(np.int64) << 32 | got[2].astype(np.int64)
-        order = np.lexsort((cut, pid))  # as neighbours that are alike take little space
-        out = pa.table([pa.array(pid[order]), pa.array(cut[order])], names=["pid", "cut"])
+        pid, own = _cuts(*(x.astype(np.int64) for x in got))
+        out = pa.table([pa.array(pid), own], names=["pid", "cuts"])
         release()
         return out
 
     runs = held.join(often, "pid").select("pid", "host", "address", "z", "often").mapInArrow(_to_runs(codec, window, gram, targets, width), "target int, block binary")
-    cuts = runs.groupBy("target").applyInArrow(from_runs, "pid long, cut long")
-    # few cuts of a page meet before the exchange, where plain rows are smaller than lists; a page's cuts are bounded by its tokens
-    cuts = cuts.repartition(F.col("pid")).groupBy("pid").agg(F.collect_set("cut").alias("cuts"))
+    cuts = runs.groupBy("target").applyInArrow(from_runs, "pid long, cuts binary")
+    # a page's cuts are bounded by its tokens
+    cuts = cuts.repartition(F.col("pid")).groupBy("pid").agg(F.collect_list("cuts").alias("cuts"))
 
     def keep(z: pa.Array, lists: pa.Array, _: pa.Array, __: pa.Array) -> pa.Array:
         texts, kept, removed = [], [], []
-        for stream, own in zip(codec.unpack(z), lists.to_pylist()):
+        data, off = utf8(lists.flatten())
+        values, ends = _numbers(data)
+        n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(ends, off[np.concatenate([[0], np.cumsum(n)])], "right").tolist()
+        for stream, a, b in zip(codec.unpack(z), at, at[1:]):
             words = stream.decode("utf-8", "surrogatepass").split(" ") if stream else []
             gone = np.zeros(len(words) + 1, np.int32)
-            for c in own or ():
-                gone[c >> 32] += 1
-                gone[c & 0xFFFFFFFF] -= 1
+            np.add.at(gone, values[a:b:2], 1)
+            np.subtract.at(gone, values[a:b:2] + values[a + 1 : b : 2], 1)
             gone = np.cumsum(gone)[:-1] > 0
             left = [w if not g else BREAK for w, g in zip(words, gone.tolist())]
             texts.append(readable(left))

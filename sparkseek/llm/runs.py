@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 
 
-def pack(*value) -> bytes:
+def pack(*value, level: int = 3) -> bytes:
     """A block for an exchange."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(value, 5))
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(value, 5))
 
 
 def unpack(block: bytes) -> tuple:

@@ -3,6 +3,7 @@ from collections import defaultdict
 from urllib.parse import urlsplit
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,34 @@ def test_shortened_hashes():
             assert (X._lengthened(X._shortened(h[:n], width), n, width) == h[:n] & np.uint64((1 << 4 * width) - 1)).all()
 
 
+def test_cuts_of_a_page_are_united():
+    rng = np.random.default_rng(2)
+    page, first = rng.integers(-5, 5, 400) << 40, rng.choice([0, 1, 127, 128, 300, 16_384, 1 << 22, 1 << 31], 400) + rng.integers(0, 60, 400)
+    end = first + rng.integers(1, 200, 400)
+    for n in (0, 1, 400):
+        pid, cuts = X._cuts(page[:n], first[:n], end[:n])
+        got = {}
+        for p, raw in zip(pid.tolist(), cuts.to_pylist()):
+            values, ends = X._numbers(np.frombuffer(raw, np.uint8))
+            assert ends[-1] == len(raw) and p not in got
+            spans = list(zip(values[::2].tolist(), (values[::2] + values[1::2]).tolist()))
+            assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
+            got[p] = {k for a, b in spans for k in range(a, b)}
+        expected = defaultdict(set)
+        for p, a, b in zip(page[:n].tolist(), first[:n].tolist(), end[:n].tolist()):
+            expected[p].update(range(a, b))
+        assert got == expected
+
+
+def test_an_anchor_that_a_page_repeats_is_sent_once():
+    codec = X.Codec()
+    streams = [b" ".join([b"a b c d e f g h"] * 50), b"a b c d e f g h i j", b""]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([1, 1, 1]), pa.array([2, 3, 4]), codec.pack(streams)], names=["pid", "host", "address", "z"])
+    _, h, row, _ = X._anchors(codec, batch, WINDOW, GRAM)
+    sent = [X.unpack(r["block"]) for out in X._packed(codec, WINDOW, GRAM, 3, 7)([batch]) for r in out.to_pylist()]
+    assert sum(int(X._wide(counts).sum()) for _, counts, _ in sent) == len(set(zip(h.tolist(), row.tolist()))) < len(h)
+
+
 def test_tokens():
     t = X.tokens("<!DOCTYPE html><head><title>no</title></head><style>p{}</style><p class='a>b'>x&lt;y <b>z</b>w<br/>1 < 2</P><script>var t='</p>';</script><!-- <p> -->é\x02")
     assert t == ["\x02p", "x<y", "zw", "\x02br", "1", "<", "2", "\x02/p", "é"]
