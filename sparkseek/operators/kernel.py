@@ -297,7 +297,7 @@ class Search:
     """The k best vectors of each query of a task, as it meets one block of vectors after the other.
 
     Queries are (qid, q[, raw][, lists]), vectors (key, v[, scale][, raw][, list_id][, pos][, copy]). lists: only vectors of one of the query's lists
-    count, those of the same copy once. before: only keys under the qid. again: the k best are scored by this form on raw, of which `kept` stay.
+    count, those of the same copy once, at its least pos. before: only keys under the qid. again: the k best are scored by this form on raw, of which `kept` stay.
     Scores of equal order are told apart by ties. nan: NaN is the greatest score, not left out.
     """
 
@@ -315,12 +315,12 @@ class Search:
         """(queries, first and last vector, of each query the first vector that doesn't count)."""
         rows = np.arange(at, end)
         if self.lists:
-            own = block["list_id"].to_numpy()
+            own = block["list_id"].combine_chunks().to_numpy(zero_copy_only=False)
             wanted = asked["lists"].slice(at, end - at).combine_chunks()
             who = np.repeat(rows, wanted.value_lengths().to_numpy(zero_copy_only=False))
             which = wanted.flatten().to_numpy(zero_copy_only=False)
             for x in np.unique(which):
-                lo, hi = np.searchsorted(own, [x, x + 1])
+                lo, hi = np.searchsorted(own, x), np.searchsorted(own, x, "right")
                 if lo < hi:
                     yield who[which == x], int(lo), int(hi), None
         elif self.before:
@@ -356,7 +356,9 @@ class Search:
                 scores.append(s)
         r, c, s = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((rows, np.int64), (places, np.int64), (scores, np.float32)))
         if not once:
-            _, at = np.unique(np.stack([r, copies[c]]), axis=1, return_index=True)
+            position = block["pos"].to_numpy()[c] if "pos" in block.column_names else c
+            at = np.lexsort((position, copies[c], r))
+            at = at[(np.diff(r[at], prepend=-1) != 0) | (np.diff(copies[c[at]], prepend=-1) != 0)]
             r, c, s = r[at], c[at], s[at]
         out = {"q": asked["q#"].to_numpy()[r], **{n: block[n].take(pa.array(c)) for n in dict.fromkeys((*self.ties, "key"))}, "score": pa.array(s, pa.float32())}
         if self.again:
