@@ -17,7 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkseek.config import GraphConfig, Metric, at_least
 from sparkseek.functions import vectors as V
-from sparkseek.operators.knn import best, small
+from sparkseek.operators import kernel
+from sparkseek.operators.knn import best, search_by_queries, small
 
 
 def centroids(vectors: DataFrame, lists: int, metric: Metric = Metric.COSINE, seed: int = 42) -> np.ndarray:
@@ -28,26 +29,28 @@ def centroids(vectors: DataFrame, lists: int, metric: Metric = Metric.COSINE, se
     return np.array(KMeans(k=at_least("lists", lists), seed=seed, maxIter=10).fit(own).clusterCenters(), np.float32)
 
 
-def _assigned(df: DataFrame, centers: np.ndarray, column: str, probes: int) -> DataFrame:
+def _lists(df: DataFrame, centers: np.ndarray, column: str, probes: int) -> DataFrame:
+    """df with the nearest lists of each row; rows without a vector are left out."""
     shared = df.sparkSession.sparkContext.broadcast(centers)  # lists x dimensions floats
 
     def near(column: pa.Array) -> pa.Array:
         c = shared.value
-        v = np.array(column.to_pylist(), np.float32).reshape(len(column), c.shape[1])
+        v = kernel.matrix(column, c.shape[1])
         d = (c * c).sum(axis=1)[None, :] - 2 * v @ c.T
         return pa.array(list(np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)), pa.list_(pa.int32()))
 
-    return df.withColumn("list_id", F.explode(F.arrow_udf(near, "array<int>")(column)))
+    return df.where(F.col(column).isNotNull()).withColumn("lists", F.arrow_udf(near, "array<int>")(column))
 
 
 def ivf_index(vectors: DataFrame, centers: np.ndarray, metric: Metric = Metric.COSINE) -> DataFrame:
     """(key, v, list_id); written with partitionBy("list_id"), a search reads the probed lists only."""
-    return _assigned(vectors.select("key", V.prepared(F.col("vector"), metric).alias("v")), centers, "v", 1)
+    return _lists(vectors.select("key", V.prepared(F.col("vector"), metric).alias("v")), centers, "v", 1).select("key", "v", F.col("lists")[0].alias("list_id"))
 
 
 def ivf_search(index: DataFrame, centers: np.ndarray, queries: DataFrame, k: int, probes: int, metric: Metric = Metric.COSINE) -> DataFrame:
-    asked = _assigned(queries.select("qid", V.prepared(F.col("query"), metric).alias("q")), centers, "q", at_least("probes", probes))
-    return best(index.join(F.broadcast(asked) if small(queries) else asked, "list_id").select("qid", "key", V.score(F.col("q"), F.col("v"), metric).alias("score")), k)
+    """As knn.nearest for many queries, of whose pairs only those in the probed lists are scored."""
+    asked = _lists(queries.select("qid", V.prepared(F.col("query"), metric).alias("q")), centers, "q", at_least("probes", probes))
+    return search_by_queries(index, asked, queries.count(), kernel.Search(kernel.Form(metric), at_least("k", k), centers.shape[1], lists=True))
 
 
 class Graph:
