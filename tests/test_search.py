@@ -235,3 +235,15 @@ def test_nearest_defines_nulls_nan_lengths_and_blocks(spark, monkeypatch):
     assert knn.nearest(v, q.limit(0), 9).count() == 0 == knn.nearest(v.limit(0), q, 9).count()
     with pytest.raises(Exception, match="expected 2"):
         knn.nearest(v.unionByName(v.limit(1).withColumn("vector", F.array(F.lit(1.0).cast("float")))), q, 1).collect()
+
+
+def test_graph_search_takes_any_number_of_queries(spark, monkeypatch):
+    data, asked = clustered(16, 0.2, 8, 10, 30, 60)
+    v, q = frames(spark, data, asked)
+    few = ann.graph_search(v, q, 5, shards=3).collect()
+    monkeypatch.setattr(ann, "TASK_QUERIES", 7)
+    monkeypatch.setattr(ann, "PIECE", 1000)
+    assert sorted(few) == sorted(ann.graph_search(v, q, 5, shards=3).collect()) and len(few) == 300
+    monkeypatch.undo()
+    many = spark.range(20_100).select(F.col("id").alias("qid"), F.lit(asked[0].tolist()).cast("array<float>").alias("query"))
+    assert ann.graph_search(v.where("key < 2"), many, 1, shards=2).count() == 20_100
