@@ -247,3 +247,39 @@ def test_graph_search_takes_any_number_of_queries(spark, monkeypatch):
     monkeypatch.undo()
     many = spark.range(20_100).select(F.col("id").alias("qid"), F.lit(asked[0].tolist()).cast("array<float>").alias("query"))
     assert ann.graph_search(v.where("key < 2"), many, 1, shards=2).count() == 20_100
+
+
+def test_bm25_of_repeated_keys_and_queries_against_sql(spark, tmp_path):
+    import duckdb
+    from test_queries import plain
+
+    from sparkseek.plans import queries
+
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
+    rows = [(1, "a b b c"), (1, "a b b c"), (1, "c a"), (2, "b d d"), (3, "a c e"), (4, ""), (5, None), (6, "x y z b"), (7, "d a a b c e")]
+    c.executemany("insert into documents values (?, ?, 'en', 's')", rows)
+    c.execute("create table benchmark (item_id bigint, text varchar)")
+    c.executemany("insert into benchmark values (?, ?)", [(10, "a b a"), (10, "b c"), (11, "d e"), (12, ""), (13, "unknown x")])
+    for t in ("documents", "benchmark"):
+        c.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    for name in ("bm25_search", "bm25_filtered"):
+        df, other = queries.QUERIES[name](spark, str(tmp_path)), c.sql(queries.SQL[name])
+        assert df.count() > 5 and plain(df.collect(), df.columns) == plain(other.fetchall(), list(other.columns))
+
+
+def test_bm25_exchanges_no_terms(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("if(id < 0, null, id) key", "concat_ws(' ', transform(sequence(0, 60), x -> concat('w', (x * x + id) % 97))) text").repartition(4)
+    asked = docs.where("key < 90").selectExpr("key qid", "text")
+    df = bm25.text_search(docs, asked, 5)
+    got = sorted(df.collect())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    assert len(got) == 450 and "SortMergeJoin" not in final and final.count("ReusedExchange")
+    own = bm25.text_search(docs, asked, 5, where=docs.where("key % 2 = 0"))
+    assert all(r.key % 2 == 0 for r in own.collect())
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("Initial Plan")].count("concat_ws") == final.count("concat_ws") == 1
+    for name, value in (("BLOCK_QUERIES", 40), ("TOKENS", 200), ("CELLS", 999)):
+        monkeypatch.setattr(bm25, name, value)
+    assert sorted(bm25.text_search(docs, asked, 5).collect()) == got
