@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from sparkseek.functions.analyze import basic_tokens
 
+WORDS = 1 << 17  # of a slice that is encoded at once
+
 
 class Session(Protocol):
     """A model: token ids, mask and types of one text to (tokens, hidden) floats."""
@@ -111,12 +113,41 @@ class WordPiece:
                 break
         return [self.cls, *(out if max_tokens is None else out[: max_tokens - 2]), self.sep]
 
+    def encode_all(self, words: pa.Array, max_tokens: int | None = 256) -> pa.Array:
+        """encode of each list of words; each word of a slice is cut once, and numbers stay in 32 bits."""
+        sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts, lengths, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        ends = np.cumsum(sizes)
+        while at < len(sizes):
+            end = max(int(np.searchsorted(ends, ends[at] - sizes[at] + WORDS, "right")), at + 1)
+            own = words.slice(at, end - at).flatten().dictionary_encode()
+            cut = [self.pieces(w) for w in own.dictionary.to_pylist()]
+            flat, first = np.array([i for x in cut for i in x], np.int32), np.cumsum([0, *map(len, cut)])
+            which = own.indices.to_numpy()
+            n = np.diff(first)[which]
+            got = np.repeat(np.arange(end - at), sizes[at:end])
+            total = np.bincount(got, n, end - at).astype(np.int64)
+            before = np.cumsum(n) - n
+            ids = flat[np.arange(n.sum()) + np.repeat(first[which] - before, n)]
+            place = np.arange(len(ids)) - np.repeat(np.cumsum(total) - total, total)
+            row = np.repeat(np.arange(end - at), total)
+            if max_tokens is not None:
+                keep = place < max_tokens - 2
+                ids, place, row, total = ids[keep], place[keep], row[keep], np.minimum(total, max(max_tokens - 2, 0))
+            starts = np.cumsum(total + 2) - (total + 2)
+            out = np.full(int((total + 2).sum()), self.sep, np.int32)
+            out[starts], out[starts[row] + 1 + place] = self.cls, ids
+            parts.append(out)
+            lengths.append(total + 2)
+            at = end
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)), pa.array(np.concatenate(parts)))
+
 
 def wordpiece(text: Column, tokenizer: WordPiece, max_tokens: int | None = 256) -> Column:
     """input_ids, attention_mask, token_type_ids; words are split by built-in functions."""
 
     def run(words: pa.Array) -> pa.Array:
-        return pa.array([tokenizer.encode(w or [], max_tokens) for w in words.to_pylist()], pa.list_(pa.int32()))
+        return tokenizer.encode_all(words, max_tokens)
 
     ids = F.arrow_udf(run, "array<int>")(basic_tokens(text, tokenizer.lower))
     return F.transform(F.array(ids), lambda i: F.struct(i.alias("input_ids"), F.transform(i, lambda _: F.lit(1)).alias("attention_mask"), F.transform(i, lambda _: F.lit(0)).alias("token_type_ids")))[0]

@@ -283,3 +283,29 @@ def test_bm25_exchanges_no_terms(spark, monkeypatch):
     for name, value in (("BLOCK_QUERIES", 40), ("TOKENS", 200), ("CELLS", 999)):
         monkeypatch.setattr(bm25, name, value)
     assert sorted(bm25.text_search(docs, asked, 5).collect()) == got
+
+
+def test_wordpieces_of_a_batch_by_slices_without_objects(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sparkseek.operators import embed
+
+    t = embed.WordPiece({w: i for i, w in enumerate(["[UNK]", "[CLS]", "[SEP]", *"abcd", *(f"##{c}" for c in "abcd"), "ab"])})
+    rng = random.Random(2)
+    lists = [None, [], *(["".join(rng.choices("abcde", k=rng.randrange(1, 6))) for _ in range(rng.randrange(40))] for _ in range(60)), ["abc"] * 500]
+    words = pa.array(lists, pa.list_(pa.string()))
+    for size in (1 << 17, 50, 1):
+        monkeypatch.setattr(embed, "WORDS", size)
+        for most in (None, 2, 9, 256):
+            assert t.encode_all(words, most).to_pylist() == [t.encode(w or [], most) for w in lists]
+    assert len(t.encode_all(words.slice(3, 20), None)) == 20 and len(t.encode_all(words[:0], None)) == 0
+    monkeypatch.undo()
+    many = pa.array([[f"{'abcd' * 3}{i % 7}a" for i in range(1000)]] * 1000)
+    tracemalloc.start()
+    try:
+        embed.wordpiece.__globals__["WordPiece"].encode_all(t, many, None)
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20  # a million words as objects take more
+    finally:
+        tracemalloc.stop()
