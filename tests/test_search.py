@@ -309,3 +309,15 @@ def test_wordpieces_of_a_batch_by_slices_without_objects(monkeypatch):
         assert tracemalloc.get_traced_memory()[1] < 60 << 20  # a million words as objects take more
     finally:
         tracemalloc.stop()
+
+
+def test_hybrid_search_neither_explodes_texts_nor_sums_pairs(spark):
+    data, asked = clustered(16, 0.3, 9, 10, 30, 12)
+    v, q = frames(spark, data, asked)
+    v = v.selectExpr("key", "vector", "concat('all w', key % 7, ' x', key) text", "map('source', if(key % 3 = 0, 'src0', 'src1')) attributes")
+    q = q.selectExpr("qid", "query", "concat('all w', qid % 7) text")
+    df = fusion.hybrid_search(v, q, 5, where=attr_ne("source", "src0"))
+    rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(rows) == 60 and all(r.key % 3 for r in rows)
+    assert "sum(part" not in plan and "Generate explode(concat(terms" not in plan and "[term" not in plan
